@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arborlake.llm import language_id, mixing, toxicity
+from arborlake.llm.language_id import held_out
 from arborlake.llm.near_dedup import near_duplicates
+from arborlake.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +19,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op5_near_dedup": op5_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out(3, 1)))
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "similarity", "rejected")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out(4, 2)))
+    return toxicity.toxicity(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
+    "op4_mix_sources": op4_mix_sources,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
+}
+ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.ORACLE}
