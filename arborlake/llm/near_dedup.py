@@ -8,7 +8,8 @@
    bucket's smallest node; links found unite nodes.  Buckets whose members are then still
    in several classes are compared with the member that shares most buckets (the likely
    original), and what is left after that is compared pair by pair, but only across
-   classes, each pair in its first common bucket, in blocks of bounded size.
+   classes, each pair in its first common bucket, in blocks of bounded size, over
+   signatures of 500 minima, which leave few pairs that are not links.
 4. Each candidate is verified in batches of 25 minima (after BayesLSH): with a uniform prior
    the posterior of the similarity after m of n matches is Beta(m + 1, n - m + 1); the pair
    is dropped as soon as the chance that the similarity reaches the threshold falls below
@@ -38,6 +39,7 @@ from arborlake.plans.stage import materialise
 class NearDup:
     """``percent``: least similarity in hundredths.  ``miss``: chance at which a candidate
     that may still be similar enough is given up.  ``batch``: minima compared at a time.
+    ``more``: minima compared at most for the pairs across classes that are left at the end.
     ``block``: rows of a bucket that one comparison block holds.  ``broadcast_nodes``: up to
     so many candidate nodes (16-byte keys) are sent to all executors to filter the texts;
     beyond that, the texts are joined by shuffle."""
@@ -48,13 +50,14 @@ class NearDup:
     rows: int = 5
     miss: float = 1e-6
     batch: int = 25
+    more: int = 500
     block: int = 512
     broadcast_nodes: int = 400_000
 
 
-def least_matches(p: NearDup) -> np.ndarray:
-    """least[n]: fewest matches after n minima with P(similarity >= threshold) >= miss."""
-    k, t = p.bands * p.rows, p.percent / 100
+def least_matches(p: NearDup, k: int) -> np.ndarray:
+    """least[n]: fewest matches after n of k minima with P(similarity >= threshold) >= miss."""
+    t = p.percent / 100
     least = np.zeros(k + 1, dtype=np.int32)
     for n in range(p.batch, k + 1, p.batch):
         tail = 0.0  # P(Beta(m+1, n-m+1) > t) = P(Binomial(n+1, t) <= m)
@@ -104,8 +107,18 @@ def sketches(docs: DataFrame, p: NearDup) -> DataFrame:
     return rows.mapInPandas(_sketch(p), "doc_id long, text_hash long, n_shingles long, node binary, sig binary, bands array<long>")
 
 
+def _longer(p: NearDup):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, mh = WordHash(), MinHash(1, p.more, seed=2)
+        for pdf in batches:
+            sigs = [mh.minima(shingle_set(t, cache, p.shingle)).astype(np.uint16).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "sig": sigs})
+
+    return run
+
+
 def _bayes(p: NearDup):
-    least = least_matches(p)
+    least = least_matches(p, p.bands * p.rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -139,7 +152,7 @@ def _exact(p: NearDup):
 def _cross_pairs(p: NearDup):
     """Rows of one (bucket, block pair) at a time, in order: pairs of different classes
     whose first common bucket this is and that the posterior does not rule out."""
-    least = least_matches(p)
+    least = least_matches(p, p.more)
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame | None:
         if len(g) < 2:
@@ -203,6 +216,10 @@ class _Linker:
             texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "nd_texts")
         self.texts = texts
 
+    def longer(self, nodes: DataFrame) -> DataFrame:
+        """(node, sig) with ``more`` minima."""
+        return materialise(self.texts.join(nodes, "node", "left_semi").mapInPandas(_longer(self.p), "node binary, sig binary"), "nd_longer")
+
     def verify(self, pairs: DataFrame, judged: bool = False) -> DataFrame:
         """pairs: distinct (a, b).  judged: the posterior test is already passed."""
         p = self.p
@@ -281,7 +298,8 @@ def _links(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame | None:
     rest = open_.join(size, "bucket").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rest = rest.select("bucket", "node", "cls", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-    rest = rest.join(nodes.select("node", "n_shingles", "sig", "bands"), "node")
+    longer = linker.longer(open_.select("node").distinct())
+    rest = rest.join(longer, "node").join(nodes.select("node", "n_shingles", "bands"), "node")
     dealt = rest.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "node")
     pairs = dealt.mapInPandas(_cross_pairs(p), "a binary, b binary").distinct()
     return materialise(links.unionAll(linker.verify(materialise(pairs, "nd_pairs3"), judged=True)), "nd_links3")
