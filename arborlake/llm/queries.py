@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import language_id, mixing, toxicity
+from arborlake.llm import decontaminate, language_id, mixing, pitman_yor, topk, toxicity
 from arborlake.llm.language_id import held_out
 from arborlake.llm.near_dedup import near_duplicates
 from arborlake.llm.token_counts import token_counts
@@ -23,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,11 +48,25 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = pitman_yor.fit(docs, 7, 2)
+    out = pitman_yor.score(docs, model)
+    return out.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", "spelled_score", "perplexity")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_exact_topk": op2_exact_topk,
     "op4_mix_sources": op4_mix_sources,
     "op5_near_dedup": op5_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_decontamination": op9_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": topk.ORACLE, "op4_mix_sources": mixing.ORACLE}
