@@ -236,12 +236,13 @@ class _Linker:
 
 def near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are not read): doc_id,
-    n_shingles, component_id (smallest non-null doc_id reachable), kept.
+    n_shingles, component_id (smallest non-null doc_id reachable), kept, text_hash.
 
     Null or wordless text: no shingles, linked with nothing, component_id = doc_id.
     Repeated rows and repeated ids: each row is placed by its own text; a text under
-    several ids joins them.  Null doc_id: the row takes part by its text; it is kept only
-    if its class has no id at all.  Empty table: empty result."""
+    several ids joins them.  Null doc_id: the row takes part by its text; component_id is null
+    if no member has an id, and then the rows of one text of the class are kept.  Empty
+    table: empty result."""
     p = params
     rows = materialise(sketches(docs, p), "nd_rows")
     nodes = rows.where("node is not null").groupBy("node").agg(
@@ -253,17 +254,30 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
     )
     nodes = materialise(nodes.select("node", "least_id", "r.doc_id", "r.text_hash", "n_shingles", "sig", "bands"), "nd_nodes")
     links = _links(docs, nodes, p)
-    member = rows.select("doc_id", "n_shingles", "node")
     if links is None:
-        classes = nodes.select("node", F.col("least_id").alias("component_id"))
+        classes = nodes.select("node", F.col("least_id").alias("component_id"), F.lit(True).alias("first"))
     else:
         cc = connected_components(links, "a", "b")
         own = nodes.select("node", "least_id").join(cc, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
         least = own.groupBy("component").agg(F.min("least_id").alias("component_id"))
-        classes = own.join(least, "component").select("node", "component_id")
-    out = member.join(classes, "node", "left")
+        classes = own.join(least, "component").select("node", "component_id", (F.col("node") == F.col("component")).alias("first"))
+    out = rows.select("doc_id", "n_shingles", "node", "text_hash").join(classes, "node", "left")
     comp = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    kept = F.when(comp.isNotNull(), F.coalesce(F.col("doc_id") == comp, F.lit(False))).otherwise(F.coalesce("first", F.lit(True)))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), kept.alias("kept"), "text_hash")
+
+
+def deduplicated(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
+    """The documents' columns with one row of each class left."""
+    found = materialise(near_duplicates(docs, params).select("doc_id", "text_hash", "kept"), "nd_found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_g_id"), F.col("text_hash").alias("_g_hash")).distinct()
+    small = gone.limit(params.broadcast_nodes + 1).count() <= params.broadcast_nodes
+    match = docs["doc_id"].cast("long").eqNullSafe(F.col("_g_id")) & (F.xxhash64(docs["text"]) == F.col("_g_hash"))
+    out = docs.join(F.broadcast(gone) if small else gone, match, "left_anti")
+    kept = found.where("kept")
+    if kept.count() > kept.select("doc_id", "text_hash").distinct().count():  # repeated rows
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
 
 
 def _links(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame | None:

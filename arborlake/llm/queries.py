@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import decontaminate, language_id, mixing, pitman_yor, topk, toxicity
+from arborlake.llm import decontaminate, html_text, language_id, mixing, pitman_yor, topk, toxicity, warc
 from arborlake.llm.language_id import held_out
 from arborlake.llm.near_dedup import near_duplicates
 from arborlake.llm.token_counts import token_counts
@@ -27,12 +27,16 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,14 +63,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.page_captures(_table(spark, sf_dir, "pages")))
+    h = F.col("headers")
+    return out.select(
+        F.substring_index("record_id", "-", 1).cast("long").alias("page_id"), "record_id", "url_key", "warc_type", "validator", "resolved", "status", "refers_to",
+        h["etag"].alias("etag"), h["date"].alias("date"), h["cache-control"].alias("cache_control"), h["content-type"].alias("content_type"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_topk": op2_exact_topk,
+    "op3_html_text": op3_html_text,
     "op4_mix_sources": op4_mix_sources,
     "op5_near_dedup": op5_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
+    "op10_warc_revisits": op10_warc_revisits,
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_topk": topk.ORACLE, "op4_mix_sources": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": topk.ORACLE, "op4_mix_sources": mixing.ORACLE, "op10_warc_revisits": warc.ORACLE}
