@@ -64,7 +64,7 @@ def source_targets(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
     lam = (full * F.lit(p.total) - capped * F.lit(p.cap)) / F.sum("weight").over(onward)
     lam = F.when(lam * F.col("weight") <= F.col("source_size") * F.lit(p.cap), lam)
     per = per.withColumn("lam", lam)
-    level = F.min("lam").over(Window.partitionBy())
+    level = F.max("lam").over(Window.partitionBy())  # of the first open source: later ones only lower it
     open_ = F.least(F.col("source_size") * F.lit(p.cap), F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))
     return per.select("source", "source_size", "weight", open_.cast("double").alias("target"))
 
@@ -117,7 +117,7 @@ s2 AS (
     sum(weight) OVER (ORDER BY source_size / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS rest
   FROM s1),
 s3 AS (SELECT *, (full_size * 1.5::DOUBLE - capped * 2.0::DOUBLE) / rest AS lam FROM s2),
-s4 AS (SELECT *, min(CASE WHEN lam * weight <= source_size * 2.0::DOUBLE THEN lam END) OVER () AS level FROM s3),
+s4 AS (SELECT *, max(CASE WHEN lam * weight <= source_size * 2.0::DOUBLE THEN lam END) OVER () AS level FROM s3),
 s5 AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, coalesce(level, 'inf'::DOUBLE) * weight) AS target FROM s4),
 r AS (
   SELECT d.doc_id, d.size, s5.source_size, s5.target,
