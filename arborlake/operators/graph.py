@@ -37,3 +37,97 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if e.isEmpty():
             return label
     raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
+
+
+def components_of(nodes: DataFrame, edges: DataFrame, node: str, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) for all nodes, those without edges as their own component."""
+    if edges.isEmpty():
+        return nodes.select(F.col(node).alias("node"), F.col(node).alias("component"))
+    cc = connected_components(edges, src, dst)
+    return nodes.select(F.col(node).alias("node")).join(cc, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def voxel_components(pts: DataFrame, size: float, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+    """Occupied voxels (vx, vy, vz) with their point count and the least voxel of their
+    26-connected component."""
+    from pyspark.sql import Window  # noqa: F401
+
+    v = pts.groupBy(*[F.floor(F.col(c) / size).cast("int").alias(n) for c, n in ((x, "vx"), (y, "vy"), (z, "vz"))]).agg(F.count("*").alias("n"))
+    v = materialise(v.withColumn("v", F.struct("vx", "vy", "vz")), "voxels")
+    # Half of the 26 directions: the others are the same edges.
+    half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in half]))
+    reach = v.select("v", step.alias("s")).select("v", F.struct((F.col("v.vx") + F.col("s.i")).alias("vx"), (F.col("v.vy") + F.col("s.j")).alias("vy"), (F.col("v.vz") + F.col("s.k")).alias("vz")).alias("w"))
+    edges = reach.join(v.select(F.col("v").alias("w")), "w").select(F.col("v").alias("src"), F.col("w").alias("dst"))
+    cc = components_of(v, materialise(edges, "voxel_edges"), "v")
+    return v.join(cc, v["v"] == cc["node"]).select("vx", "vy", "vz", "n", "component")
+
+
+def drop_small_components(pts: DataFrame, size: float, min_points: int = 500) -> DataFrame:
+    """Points whose voxel component holds at least min_points points."""
+    c = voxel_components(pts, size)
+    big = c.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") >= min_points).select("component")
+    keep = c.join(big, "component", "left_semi").select("vx", "vy", "vz")
+    key = [F.floor(pts[a] / size).cast("int") == keep[f"v{a}"] for a in "xyz"]
+    return pts.join(keep, key[0] & key[1] & key[2], "left_semi")
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """edges (src, dst, w >= 0), undirected; sources (node, base).  For each reached node the
+    distance to the nearest source, that source's base (ties to the smaller base) and the
+    node before it on the path.  Rounds relax only the edges of nodes that changed."""
+    both = materialise(edges.select("src", "dst", "w").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "sp_edges")
+    best = sources.groupBy(F.col("node").alias("node")).agg(F.min("base").alias("base"))
+    none = F.lit(None).cast(both.schema["src"].dataType)
+    best = materialise(best.select("node", F.lit(0.0).alias("dist"), "base", none.alias("prev")), "sp_best")
+    front = best
+    for _ in range(max_rounds):
+        step = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "base", F.col("src").alias("prev"))
+        step = step.groupBy("node").agg(F.min(F.struct("dist", "base", "prev")).alias("n"))
+        j = best.join(step, "node", "full")
+        old = F.struct("dist", "base")
+        better = F.col("n").isNotNull() & (F.col("dist").isNull() | (F.struct("n.dist", "n.base") < old))
+        j = j.select("node", F.when(better, F.col("n.dist")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("n.base")).otherwise(F.col("base")).alias("base"), F.when(better, F.col("n.prev")).otherwise(F.col("prev")).alias("prev"), better.alias("new"))
+        j = materialise(j, "sp_best")
+        best, front = j.drop("new"), j.where("new").drop("new")
+        if front.isEmpty():
+            return best
+    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+
+
+def dbscan(pts: DataFrame, eps: float, min_points: int, id_col: str, xyz: list[str]) -> DataFrame:
+    """(id, cluster): the least core id of the cluster, null for noise.  A core point has at
+    least min_points points within eps, itself included; a border point joins the least
+    cluster among its core neighbours."""
+    from arborlake.operators.spatial import radius_pairs
+
+    a = pts.select(F.col(id_col).alias("ia"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(xyz)])
+    b = pts.select(F.col(id_col).alias("ib"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(xyz)])
+    n = len(xyz)
+    near = materialise(radius_pairs(a, b, eps, [f"a{i}" for i in range(n)], [f"b{i}" for i in range(n)]).select("ia", "ib"), "db_near")
+    core = materialise(near.groupBy("ia").agg(F.count("*").alias("k")).where(F.col("k") >= min_points).select(F.col("ia").alias("core")), "db_core")
+    links = near.where("ia < ib").join(core, near["ia"] == core["core"], "left_semi").join(core.withColumnRenamed("core", "c2"), F.col("ib") == F.col("c2"), "left_semi")
+    cc = materialise(components_of(core, materialise(links, "db_links"), "core", "ia", "ib"), "db_cc")
+    border = near.join(cc, near["ib"] == cc["node"]).groupBy("ia").agg(F.min("component").alias("border"))
+    own = cc.select(F.col("node").alias("ia"), "component")
+    out = pts.select(F.col(id_col).alias("ia")).join(own, "ia", "left").join(border, "ia", "left")
+    return out.select(F.col("ia").alias(id_col), F.coalesce("component", "border").alias("cluster"))
+
+
+def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """Minimum spanning forest (src, dst, w) by Boruvka's rounds; equal weights are ordered by
+    the nodes, so the result is unique."""
+    e = materialise(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").groupBy("src", "dst").agg(F.min("w").alias("w")), "mst_edges")
+    open_ = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "src", "dst", "w")
+    out = None
+    for _ in range(max_rounds):
+        both = open_.select(F.col("a").alias("c"), F.struct("w", "src", "dst").alias("k")).unionAll(open_.select(F.col("b").alias("c"), F.struct("w", "src", "dst").alias("k")))
+        pick = materialise(both.groupBy("c").agg(F.min("k").alias("k")).select("k.*").distinct(), "mst_pick")
+        if pick.isEmpty():
+            return out if out is not None else e.where("false")
+        out = pick.select("src", "dst", "w") if out is None else out.unionAll(pick.select("src", "dst", "w"))
+        out = materialise(out, "mst_out")
+        cc = materialise(connected_components(out), "mst_cc")
+        x, y = cc.select(F.col("node").alias("src"), F.col("component").alias("a")), cc.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+        open_ = materialise(e.join(x, "src").join(y, "dst").where("a <> b").select("a", "b", "src", "dst", "w"), "mst_open")
+    raise RuntimeError("the spanning forest did not settle")
