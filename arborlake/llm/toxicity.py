@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.plans.stage import materialise
+
 EDGE = ".,;:!?\"'()[]{}<>*#~_-…«»“”„’"
 STATS = ["mean", "log_mean", "top2", "per_root"]
 
@@ -42,10 +44,10 @@ class Tox:
     counts as evidence; ``most``: largest ratio of one word.  ``threshold``: score from which
     a text is predicted toxic."""
 
-    sample: int = 24_000
+    sample: int = 10_000
     depth: int = 12
     discount: float = 0.75
-    least: int = 2
+    least: int = 3
     strong: float = 2.0
     most: float = 8.0
     threshold: float = 0.3
@@ -202,8 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Tox = Tox()) -> Model:
     ended = F.when(F.length("w") < p.depth, F.concat("w", F.lit("\n"))).otherwise(F.col("w"))
     cut = words.select(ended.alias("w"), "toxic", "ordinary").select(F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("i"), "*")
     cut = cut.select(F.substring("w", F.lit(1), F.col("i")).alias("h"), F.substring("w", F.col("i") + 1, F.lit(1)).alias("x"), "toxic", "ordinary")
-    nodes = cut.groupBy("h", "x").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    # Singletons matter only as counts of their context: one row for each context keeps them.
+    nodes = materialise(cut.groupBy("h", "x").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "tox_nodes")
+    # Rare ones matter only as counts of their context: one row for each context keeps them.
     known = nodes.where(F.col("toxic") + F.col("ordinary") >= p.least)
     lone = nodes.where(F.col("toxic") + F.col("ordinary") < p.least).groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     known_h = known.select(F.concat("h", "x").alias("h")).unionAll(docs.sparkSession.createDataFrame([("",)], "h string"))
