@@ -9,7 +9,7 @@ and with the norms known that bounds the inner product from above by
 sum n_s * (mean_q * mean_x + dev_q * dev_x).  Each resolution is a short inner product, so a
 block of candidates is bounded for a block of queries by one small matrix product.  From
 coarse to fine, pairs whose bound is below the query's k-th best known score drop out; the
-survivors get exact scores.
+survivors get exact scores, one by one or, where many survive, by one matrix product.
 
 Queries and candidates meet in a grid of blocks of bounded size, each cell one task's group;
 a cell hands on at most k rows a query, and the k best of all cells are merged.
@@ -51,12 +51,17 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean * np.sqrt(n), dev * np.sqrt(n)], axis=1)
 
 
+def _whole(q: np.ndarray, x: np.ndarray) -> bool:
+    """Inner products and their partial sums are whole numbers that doubles hold exactly."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2.0**53
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of paired rows of whole numbers; exact, in Python integers where
     doubles would round; beyond 64 bits they stop at the ends of the range."""
     if not len(q):
         return np.zeros(0, dtype=np.int64)
-    if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0**53:
+    if _whole(q, x):
         return np.einsum("ij,ij->i", q, x).astype(np.int64)
     top = (1 << 63) - 1
     return np.array([max(-top - 1, min(top, sum(int(a) * int(b) for a, b in zip(r, s)))) for r, s in zip(q.tolist(), x.tolist())], dtype=np.int64)
@@ -81,8 +86,14 @@ def best_of_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray
     for segments in p.levels[1:]:
         fine = segment_features(q, segments) @ segment_features(x, segments).T + slack
         alive &= fine >= floor[:, None]
-    r, c = np.nonzero(alive)
-    s = np.concatenate([exact_scores(q[r[i : i + 200_000]], x[c[i : i + 200_000]]) for i in range(0, len(r), 200_000)]) if len(r) else np.zeros(0, dtype=np.int64)
+    if alive.mean() > 0.01 and _whole(q, x):  # dense: one matrix product, whole numbers stay exact
+        scores = np.where(alive, q @ x.T, -np.inf)
+        best = np.partition(scores, max(0, len(xid) - k), axis=1)[:, max(0, len(xid) - k)]
+        r, c = np.nonzero(alive & (scores >= best[:, None]))
+        s = scores[r, c].astype(np.int64)
+    else:
+        r, c = np.nonzero(alive)
+        s = np.concatenate([exact_scores(q[r[i : i + 200_000]], x[c[i : i + 200_000]]) for i in range(0, len(r), 200_000)]) if len(r) else np.zeros(0, dtype=np.int64)
     order = np.lexsort((xid[c], -s, r))
     r, c, s = r[order], c[order], s[order]
     begin = np.searchsorted(r, np.arange(len(qid)))
