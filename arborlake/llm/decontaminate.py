@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. One pass counts, over all documents, how many hold each n-gram (3 words) of the test items.
-2. In every run of ``spread`` consecutive n-grams of an item the rarest one becomes a seed, so
-   each stretch of an item has a seed however often the item was copied.
+2. In every run of ``spread`` consecutive n-grams of an item the rarest one that occurs becomes
+   a seed.  So a copy is found if any gram + spread - 1 words in a row (4) were left as they
+   are, and however often the item was copied.
 3. A second pass finds the seeds in whole documents.  The passage around an item's seeds is
    aligned with the item by words (match 1, mismatch and gap -``penalty``), unless even all
    words that passage and item share could not reach the least score, which prunes exactly.
@@ -33,7 +34,7 @@ class Decon:
     on either side of the passage that an edited copy may have gained."""
 
     gram: int = 3
-    spread: int = 4
+    spread: int = 2
     share: float = 0.5
     run: int = 13
     penalty: float = 0.5
@@ -117,10 +118,11 @@ class Items:
         return at[hit], i[hit]
 
     def choose(self, frequency: np.ndarray) -> None:
-        """The rarest n-gram of each run becomes a seed; ties go to the first."""
+        """The rarest n-gram of each run becomes a seed, those apart that no document has;
+        ties go to the first."""
         self.seeds = {}
         for item, own in enumerate(self.own):
-            f, chosen = frequency[own], set()
+            f, chosen = np.where(frequency[own] > 0, frequency[own], np.iinfo(np.int64).max), set()
             for i in range(max(1, len(own) - self.p.spread + 1)):
                 chosen.add(i + int(np.argmin(f[i : i + self.p.spread])))
             for i in chosen:
