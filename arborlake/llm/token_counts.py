@@ -5,9 +5,9 @@ pieces popped when following it (after LinMaxMatch, Song et al. 2021), so that e
 a word costs amortised constant work and only a count is kept.
 
 The vocabulary file is one of byte-level pieces with a word-end mark (``</w>``): a piece with
-the mark only ends a word, one without it never does.  A word's bytes and then the end
-symbol 256 are matched greedily from the left.  A word that some prefix can't match counts as
-one unknown token.
+the mark only ends a word, one without it stands anywhere.  A word's bytes and then the end
+symbol 256 are matched greedily from the left; an end symbol that no piece took along counts
+nothing.  A word with a place that no piece matches counts as one unknown token.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ class Automaton:
     def __init__(self, pieces: list[tuple[int, ...]]) -> None:
         go: dict[int, int] = {}
         final = [False]
-        for piece in pieces:
+        for piece in [(END,), *pieces]:
             v = 0
             for s in piece:
                 u = go.get(v << 9 | s)
@@ -71,6 +71,7 @@ class Automaton:
         children: list[list[tuple[int, int]]] = [[] for _ in final]
         for key, u in go.items():
             children[key >> 9].append((key & 511, u))
+        bare_end = go[END]
         fail, pops = [-1] * len(final), [0] * len(final)
         level = [0]
         while level:
@@ -79,7 +80,7 @@ class Automaton:
                 for s, u in children[v]:
                     below.append(u)
                     if final[u]:
-                        fail[u], pops[u] = 0, 1
+                        fail[u], pops[u] = 0, int(u != bare_end)
                         continue
                     z, popped = fail[v], pops[v]
                     while z >= 0 and (z << 9 | s) not in go:
