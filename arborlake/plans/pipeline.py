@@ -91,5 +91,9 @@ def run_pipeline(spark: SparkSession, points: DataFrame, out_dir: str, config: P
     if p.isEmpty():
         raise tiling.EmptyCloudError("no point is left; lower the intensity threshold or the ground offset")
     path = os.path.join(out_dir, "cylinders")
+    try:
+        return p, spark.read.parquet(path)
+    except AnalysisException:
+        pass
     segment.fit_cylinders(p, min_points=c.min_segment, layer=c.cylinder_layer).write.mode("overwrite").parquet(path)
     return p, spark.read.parquet(path)
