@@ -27,6 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ STATS = ["mean", "log_mean", "top2", "per_root"]
 class Tox:
     """``sample``: labelled rows that fit the models; every fifth of them fits the link.
     ``depth``: longest beginning of a word.  ``least``: documents that must share a beginning
-    before it is a context of its own.  ``strong``: ratio (natural log) beyond which a word
+    before it is a context of its own.  ``close``: see ``fit_nodes``.  ``strong``: ratio (natural log) beyond which a word
     counts as evidence; ``most``: largest ratio of one word.  ``threshold``: score from which
     a text is predicted toxic."""
 
@@ -48,6 +50,7 @@ class Tox:
     depth: int = 12
     discount: float = 0.75
     least: int = 3
+    close: float = 0.25
     strong: float = 2.0
     most: float = 8.0
     threshold: float = 0.3
@@ -119,26 +122,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_nodes(counts: pd.DataFrame, p: Tox) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """counts: one row per (h, x): beginning h, next letter x ("\\n": end), documents toxic
-    and ordinary.  Returns the kept beginnings, each with the log ratio up to it and the log
-    ratio of leaving it for an unknown letter."""
-    h, x = counts["h"].to_numpy(object), counts["x"].to_numpy(object)
-    c = counts[["toxic", "ordinary"]].to_numpy(np.float64)
-    both = c.sum(axis=1)
-    at, contexts = pd.factorize(h)
-    m = len(contexts)
-    d = p.discount
+def _codes(a: pa.Array) -> tuple[np.ndarray, int]:
+    d = a.dictionary_encode()
+    return d.indices.to_numpy(), len(d.dictionary)
+
+
+def fit_nodes(counts: pa.Table, p: Tox) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """counts: one row per (h, x): beginning h, next letter x ("\n": end), documents toxic
+    and ordinary; x = "\0" sums a context's rare letters.  Returns the kept beginnings, each
+    with the log ratio up to it and the log ratio of leaving it for an unknown letter.  A
+    beginning that leads no further and whose ratio is within ``close`` of what leaving its
+    context would give is dropped."""
+    h, x = (counts[c].combine_chunks() for c in ("h", "x"))
+    c = np.stack([counts[k].to_numpy() for k in ("toxic", "ordinary")], axis=1).astype(np.float64)
+    both, d = c.sum(axis=1), p.discount
+    at, m = _codes(h)
     size = np.stack([np.bincount(at, c[:, k], m) for k in (0, 1)], axis=1)
     kinds = np.stack([np.bincount(at, np.minimum(c[:, k], d), m) for k in (0, 1)], axis=1)  # discounted mass
-    letter = pd.factorize(x)[0]
-    n_letters = int(letter.max()) + 1
-    base = (np.bincount(letter, minlength=n_letters) + 1) / (len(x) + n_letters)
-    last = pd.factorize(np.array([s[-1:] for s in h], dtype=object))[0]
-    pair = last.astype(np.int64) * n_letters + letter
-    code, inv = np.unique(pair, return_inverse=True)
-    n_pair, n_last = np.bincount(inv), np.bincount(last)
-    t_last = np.bincount(code // n_letters, minlength=len(n_last))
+    letter, n_letters = _codes(x)
+    base = (np.bincount(letter, minlength=n_letters) + 1) / (len(letter) + n_letters)
+    last, n_last_codes = _codes(pc.utf8_slice_codeunits(h, -1, stop=None))
+    code, inv = np.unique(last.astype(np.int64) * n_letters + letter, return_inverse=True)
+    n_pair, n_last = np.bincount(inv), np.bincount(last, minlength=n_last_codes)
+    t_last = np.bincount(code // n_letters, minlength=n_last_codes)
     p2 = (np.maximum(n_pair[inv] - d, 0) + d * t_last[last] * base[letter]) / n_last[last]
     t_both, n_both = np.bincount(at, minlength=m), size.sum(axis=1)
     shared = (np.maximum(both - d, 0) + d * t_both[at] * p2) / n_both[at]
@@ -146,16 +152,26 @@ def fit_nodes(counts: pd.DataFrame, p: Tox) -> tuple[list[str], np.ndarray, np.n
     prob = np.stack([np.where(size[at, k] > 0, np.maximum(c[:, k] - d, 0) / np.maximum(size[at, k], 1e-9), 0) + lam[at, k] * shared for k in (0, 1)], axis=1)
     step = np.log(prob[:, 0] / prob[:, 1])
     leave = np.log(np.maximum(lam[:, 0], 1e-6) / np.maximum(lam[:, 1], 1e-6))
-    leave_of = dict(zip(contexts, leave))
-    names, total, out = [""], [0.0], [leave_of.get("", 0.0)]
-    up = {"": 0.0}
-    order = np.argsort(np.char.str_len(h.astype(str)), kind="stable")
-    for i in order:
-        if h[i] in up and both[i] >= p.least:
-            full = h[i] + x[i]
-            up[full] = up[h[i]] + step[i]
-            names.append(full), total.append(up[full]), out.append(leave_of.get(full, 0.0))
-    return names, np.array(total), np.array(out)
+
+    # Rows as nodes hx; the parent row is the one whose hx is this row's h.
+    full = pc.binary_join_element_wise(h, x, "")
+    depth = pc.utf8_length(h).to_numpy(zero_copy_only=False)
+    parent = pc.fill_null(pc.index_in(h, value_set=full), -1).to_numpy(zero_copy_only=False)
+    own = pc.fill_null(pc.index_in(full, value_set=h.dictionary_encode().dictionary), -1).to_numpy(zero_copy_only=False)
+    out = np.where(own >= 0, leave[own], 0.0)
+    root = float(leave[at[depth == 0][0]]) if (depth == 0).any() else 0.0
+    total, live = np.zeros(len(both)), both >= p.least
+    for k in range(int(depth.max()) + 1):
+        rows = np.flatnonzero(depth == k)
+        if k:
+            live[rows] &= (parent[rows] >= 0) & live[parent[rows]]
+        total[rows] = step[rows] + (total[parent[rows]] if k else 0.0)
+    before = np.where(parent >= 0, total[parent] + out[parent], root)
+    for k in range(int(depth.max()), -1, -1):
+        kids = np.bincount(parent[live & (parent >= 0)], minlength=len(both))
+        live &= ~((depth == k) & (kids == 0) & (np.abs(total - before) < p.close))
+    kept = np.flatnonzero(live)
+    return ["", *full.take(pa.array(kept)).to_pylist()], np.append(0.0, total[kept]), np.append(root, out[kept])
 
 
 def fit_link(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,10 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: Tox = Tox()) -> Model:
     lone = nodes.where(F.col("toxic") + F.col("ordinary") < p.least).groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     known_h = known.select(F.concat("h", "x").alias("h")).unionAll(docs.sparkSession.createDataFrame([("",)], "h string"))
     lone = lone.join(known_h, "h", "left_semi").select("h", F.lit("\0").alias("x"), "toxic", "ordinary")
-    counts = known.unionAll(lone).toPandas()  # bounded by the sample
-    if not len(counts):
+    counts = known.unionAll(lone).toArrow()  # bounded by the sample
+    if not counts.num_rows:
         return Model(p, [""], np.zeros(1), np.zeros(1), prior)
-    model = Model(p, *fit_nodes(counts.sort_values(["h", "x"], ignore_index=True), p), prior)
+    model = Model(p, *fit_nodes(counts, p), prior)
+    del counts
 
     stat = stats_of(rows.sparkSession, model)
     aside = rows.where("aside").select("toxic", stat(F.col("text")).alias("s")).select("toxic", "s.*").toPandas()
