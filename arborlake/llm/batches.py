@@ -1,0 +1,15 @@
+"""Bounded Arrow batches for columns of whole texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lower the session's rows per Arrow batch to ``rows``: texts may be long, and a Python
+    worker holds a batch as a whole.  A lower setting stays."""
+    now = int(spark.conf.get(_KEY))
+    if now <= 0 or now > rows:
+        spark.conf.set(_KEY, str(rows))

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.llm.batches import small_batches
+
 EDGE = b".,;:!?\"'()[]{}<>*#~_-"
 
 
@@ -46,7 +48,7 @@ class Decon:
 class WordIds(dict):
     """word as written -> id of the stripped, lower-case word; 0 unknown, -1 nothing left."""
 
-    def __init__(self, ids: dict[bytes, int], limit: int = 300_000) -> None:
+    def __init__(self, ids: dict[bytes, int], limit: int = 200_000) -> None:
         super().__init__()
         self.ids, self.limit = ids, limit
 
@@ -188,6 +190,7 @@ def blocks(benchmark: DataFrame, p: Decon) -> Iterator[list[tuple[int, str]]]:
 def prepared(docs: DataFrame, benchmark: DataFrame, p: Decon = Decon()) -> list[Items]:
     """Items with seeds chosen by their n-grams' counts over all documents."""
     spark, out = docs.sparkSession, []
+    small_batches(spark)
     for rows in blocks(benchmark, p):
         items = Items(rows, p)
         shared = spark.sparkContext.broadcast(items)

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.llm.batches import small_batches
+
 UNDETERMINED = "und"
 
 
@@ -145,6 +147,7 @@ def fit(train: DataFrame, p: LangId = LangId()) -> Model:
         raise ValueError(f"more than {p.max_languages} languages; raise max_languages if executors can hold the model")
     langs = sorted(sizes)
     dims = p.dims
+    small_batches(train.sparkSession)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(dims, dtype=np.int64), 0
@@ -201,6 +204,7 @@ def fit(train: DataFrame, p: LangId = LangId()) -> Model:
 def predictor(spark, model: Model):
     """A function Column -> struct<lang_pred, score, similarity, rejected> over whole texts.
     Null text or no letter: ``und``, score 0, rejected."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, similarity double, rejected boolean")

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.llm.batches import small_batches
 from arborlake.llm.textkit import MinHash, WordHash, set_key, shingle_set
 from arborlake.operators.graph import connected_components
 from arborlake.plans.stage import materialise
@@ -244,6 +245,7 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
     if no member has an id, and then the rows of one text of the class are kept.  Empty
     table: empty result."""
     p = params
+    small_batches(docs.sparkSession)
     rows = materialise(sketches(docs, p), "nd_rows")
     nodes = rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least_id"),

@@ -26,7 +26,7 @@ def fold_words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash; forgets everything once ``limit`` words are held, so memory is bounded."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 250_000) -> None:
         super().__init__()
         self.limit = limit
 

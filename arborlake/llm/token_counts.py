@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlake.llm.batches import small_batches
+
 END = 256
 DEFAULT_VOCAB = "/opt/tokenizers/word_bpe_49k.json"
 #: Runs of letters, single digits, runs of other characters; white space separates.
@@ -115,7 +117,7 @@ class Automaton:
 class CountCache(dict):
     """word -> pieces, emptied when ``limit`` words are held; long words are never kept."""
 
-    def __init__(self, automaton: Automaton, limit: int = 300_000) -> None:
+    def __init__(self, automaton: Automaton, limit: int = 200_000) -> None:
         super().__init__()
         self.automaton, self.limit = automaton, limit
 
@@ -144,6 +146,7 @@ def token_count_column(spark: SparkSession, p: TokenCount = TokenCount()):
 
     if os.path.getsize(p.vocab) > p.max_vocab_bytes:
         raise ValueError(f"{p.vocab} is larger than {p.max_vocab_bytes} bytes; raise max_vocab_bytes if executors can hold it")
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(Automaton(load_pieces(p.vocab)))
 
     @F.pandas_udf("n_words long, n_tokens long")

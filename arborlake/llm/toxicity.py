@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.llm.batches import small_batches
 from arborlake.plans.stage import materialise
 
 EDGE = ".,;:!?\"'()[]{}<>*#~_-…«»“”„’"
@@ -63,7 +64,7 @@ def words_of(text: str | None) -> list[str]:
 class Ratios(dict):
     """word -> log-likelihood ratio, walking the kept beginnings; bounded."""
 
-    def __init__(self, nodes: dict[str, int], total: np.ndarray, leave: np.ndarray, depth: int, most: float, limit: int = 300_000) -> None:
+    def __init__(self, nodes: dict[str, int], total: np.ndarray, leave: np.ndarray, depth: int, most: float, limit: int = 150_000) -> None:
         super().__init__()
         self.nodes, self.total, self.leave, self.depth, self.most, self.limit = nodes, total.tolist(), leave.tolist(), depth, most, limit
 
@@ -197,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Tox = Tox()) -> Model:
     score is 0, with labels of one class it is their share."""
     lab = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where("l_id is not null and toxic in (0, 1)")
     lab = lab.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
+    small_batches(docs.sparkSession)
     total = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = sum(total.values())
     prior = total.get(1, 0) / n if n else 0.0
@@ -254,6 +256,7 @@ def stats_of(spark, model: Model):
 def scorer(spark, model: Model):
     """A function Column -> score in [0, 1] of whole texts; null, empty and wordless texts
     get what figures of zero give."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
