@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import geometry as G
 from arborlake.operators import fits, graph, metrics, segment, spatial, terrain, tiling, voxel
+from arborlake.operators.ordered import running_totals
 from arborlake.sources import lens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -421,10 +422,7 @@ def _intersect(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sampled_points", ", r AS (SELECT *, row_number() OVER (ORDER BY order_key, line_no, x, y, z, intensity, segment_label, cover_set) - 1 AS row_no FROM points) SELECT row_no, order_key, line_no FROM r WHERE row_no % (SELECT greatest(ceil(count(*) / 500.0), 1)::BIGINT FROM points) = 0")
 def _sampled(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    p = lens.points(spark, d)
-    r = p.withColumn("row_no", (F.row_number().over(Window.orderBy("order_key", "line_no", "x", "y", "z", "intensity", "segment_label", "cover_set")) - 1).cast("long"))
+    r = running_totals(lens.points(spark, d), [F.col(c) for c in ("order_key", "line_no", "x", "y", "z", "intensity", "segment_label", "cover_set")])
     return tiling.stride_sample(r, "row_no", 500).select("row_no", "order_key", "line_no")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions.geometry import DIAMETER_CLASSES, RADIUS_CLASSES, bin_index, cylinder_volume, diameter_class, norm, radius_class, slenderness, zenith
+from arborlake.operators.ordered import running_totals
 
 OUTLIER = 100.0
 BREAST_HEIGHT = 1.3
@@ -183,7 +184,7 @@ def color_rank(df: DataFrame, key: str) -> DataFrame:
     """Each distinct id with its rank moved into (0, 1)."""
     ids = df.select(key).where(F.col(key).isNotNull()).distinct()
     n = F.broadcast(ids.agg(F.count("*").alias("n")))  # one row
-    return ids.crossJoin(n).select(key, ((F.row_number().over(Window.orderBy(key)) - F.lit(0.5)) / F.col("n")).alias("shade"))
+    return running_totals(ids, [F.col(key)]).crossJoin(n).select(key, ((F.col("row_no") + F.lit(0.5)) / F.col("n")).alias("shade"))
 
 
 def extent(df: DataFrame, *keys: str) -> DataFrame:

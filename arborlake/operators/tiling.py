@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.operators.ordered import running_totals
+
 
 class EmptyCloudError(RuntimeError):
     """No tile holds a point."""
@@ -58,10 +60,9 @@ def percentile_filter(pts: DataFrame, column: str, p: float) -> DataFrame:
 
 def label_offsets(pts: DataFrame, tile: str, label: str = "segment_label") -> DataFrame:
     """Labels made unique over tiles: each tile's go on after the largest of those before it;
-    negative ones stay.  The running sum is over the tile table alone."""
+    negative ones stay."""
     per = pts.groupBy(tile).agg(F.max(F.when(F.col(label) >= 0, F.col(label) + 1).otherwise(0)).alias("_k"))
-    w = Window.orderBy(tile).rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select(tile, F.coalesce(F.sum("_k").over(w), F.lit(0)).alias("_o"))
+    offs = running_totals(per, [F.col(tile)], {"_o": F.col("_k")}).select(tile, "_o")
     return pts.join(offs, tile).withColumn(label, F.when(F.col(label) >= 0, F.col(label) + F.col("_o")).otherwise(F.col(label)).cast("long")).drop("_o")
 
 
@@ -70,7 +71,7 @@ def global_ids(df: DataFrame, tile: str, local: str, name: str = "global_id") ->
     numbers after the sum of the tiles before, so no sort holds all ids."""
     ids = df.select(tile, local).distinct()
     per = ids.groupBy(tile).agg(F.count("*").alias("_k"))
-    offs = per.select(tile, F.coalesce(F.sum("_k").over(Window.orderBy(tile).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    offs = running_totals(per, [F.col(tile)], {"_o": F.col("_k")}).select(tile, "_o")
     return ids.join(offs, tile).withColumn(name, F.col("_o") + F.row_number().over(Window.partitionBy(tile).orderBy(local)) - 1).drop("_o")
 
 
