@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.operators.ordered import running_totals
 from arborlake.plans.stage import materialise
 
 #: A word, in Java's syntax.
@@ -43,7 +44,8 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
-    """One row per source: source, source_size, weight, target.
+    """One row per source: source, source_size, weight, target.  Ranks and running sums come
+    from ``running_totals``, so that not even the table of sources meets in one task.
 
     Without a cap a source gets lambda * weight.  A source whose share exceeds cap * size
     stops there and the excess goes to the others by weight, until none exceeds; so
@@ -53,20 +55,16 @@ def source_targets(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
     sized = docs.select(F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     per = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix_sources")
     w = F.array(*[F.lit(x) for x in p.weights])
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    per = per.select("source", "source_size", w[(rank - 1) % len(p.weights)].cast("long").alias("weight"))
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    full = F.sum("source_size").over(every)
-    capped = F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    lam = (full * F.lit(p.total) - capped * F.lit(p.cap)) / F.sum("weight").over(onward)
-    lam = F.when(lam * F.col("weight") <= F.col("source_size") * F.lit(p.cap), lam)
-    per = per.withColumn("lam", lam)
-    level = F.max("lam").over(Window.partitionBy())  # of the first open source: later ones only lower it
-    open_ = F.least(F.col("source_size") * F.lit(p.cap), F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))
-    return per.select("source", "source_size", "weight", open_.cast("double").alias("target"))
+    ranked = running_totals(per, [F.col("source")], row_no="rank")
+    per = ranked.select("source", "source_size", w[F.col("rank") % len(p.weights)].cast("long").alias("weight"))
+    per = running_totals(per, [F.col("source_size") / F.col("weight"), F.col("source")], {"capped": F.col("source_size"), "closed": F.col("weight")})
+    per = materialise(per, "mix_running")
+    whole = per.agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w")).first()
+    lam = (F.lit(whole["n"] or 0) * F.lit(p.total) - F.col("capped") * F.lit(p.cap)) / (F.lit(whole["w"] or 1) - F.col("closed"))
+    # The first open source's value is the level: those of later ones are only lower.
+    level = per.agg(F.max(F.when(lam * F.col("weight") <= F.col("source_size") * F.lit(p.cap), lam))).first()[0]
+    target = F.least(F.col("source_size") * F.lit(p.cap), F.lit(float("inf") if level is None else level) * F.col("weight"))
+    return per.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
 def mix(docs: DataFrame, p: Mix = Mix(), keep: list[str] | None = None) -> DataFrame:
