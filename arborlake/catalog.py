@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions import geometry as G
-from arborlake.operators import fits, graph, metrics, segment, spatial, terrain, tiling, voxel
+from arborlake.operators import fits, graph, metrics, segment, spatial, terrain, tiling, voxel, wood_paths
 from arborlake.operators.ordered import running_totals
 from arborlake.sources import lens
 
@@ -700,3 +700,54 @@ def _segment_trees(spark: SparkSession, d: str) -> DataFrame:
 def _qsm(spark: SparkSession, d: str) -> DataFrame:
     p = lens.points(spark, d).withColumn("x", F.col("x") / 100).withColumn("y", F.col("y") / 100)
     return r6(segment.fit_cylinders(p.withColumn("segment_label", F.col("cover_set") % 20), layer=10.0, voxel=1.0))
+
+
+# --- paths and sequences -----------------------------------------------------------------
+
+_ORD = ["order_key", "line_no", "x", "y", "z", "intensity", "cover_set"]
+
+
+@query("equal_regions", """, r AS (SELECT segment_label, z, row_number() OVER (PARTITION BY segment_label ORDER BY order_key, line_no, x, y, z, intensity, cover_set) - 1 AS k, count(*) OVER (PARTITION BY segment_label) // 4 AS size FROM points)
+SELECT segment_label, (CASE WHEN k // nullif(size, 0) < 4 THEN k // nullif(size, 0) END)::INTEGER AS region, count(*) AS n, round(sum(z), 6) AS sum_z FROM r GROUP BY ALL""")
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    return _stats(wood_paths.equal_regions(lens.points(spark, d), ["segment_label"], _ORD, 4), "segment_label", "region", cols=("z",))
+
+
+@query("bend_flags", """, a AS (SELECT tree_id, cyl_id, ax, ay, az, lag(ax) OVER w AS px, lag(ay) OVER w AS py, lag(az) OVER w AS pz FROM cylinders WINDOW w AS (PARTITION BY tree_id ORDER BY cyl_id)),
+f AS (SELECT tree_id, cyl_id, coalesce((acos(least(greatest((ax*px+ay*py+az*pz) / (sqrt(ax*ax+ay*ay+az*az) * sqrt(px*px+py*py+pz*pz)), -1.0), 1.0)) > 1.8)::INTEGER, 0) AS f FROM a)
+SELECT tree_id, cyl_id, max(f) OVER (PARTITION BY tree_id ORDER BY cyl_id ROWS UNBOUNDED PRECEDING) AS bent FROM f""")
+def _bends(spark: SparkSession, d: str) -> DataFrame:
+    return wood_paths.bend_flags(lens.cylinders(spark, d), ["tree_id"], ["cyl_id"], ["ax", "ay", "az"], 1.8).select("tree_id", "cyl_id", "bent")
+
+
+@query("end_means", """, r AS (SELECT *, row_number() OVER (PARTITION BY cover_set ORDER BY z, x, y, z) AS k, count(*) OVER (PARTITION BY cover_set) AS t FROM points), e AS (SELECT *, greatest(floor(t * 0.1::DOUBLE), 1) AS n FROM r)
+SELECT cover_set, """ + ", ".join(f"round(avg({c}) FILTER ({cond}), 6) AS {name}_{c}" for name, cond in (("low", "k <= n"), ("high", "k > t - n")) for c in "xyz") + " FROM e GROUP BY cover_set")
+def _ends_of_sets(spark: SparkSession, d: str) -> DataFrame:
+    return r6(wood_paths.end_means(lens.points(spark, d), ["cover_set"], "z"))
+
+
+@query("distance_buckets", f"""{_SMALL}, h AS (
+  SELECT 0 AS k, id AS n, CASE WHEN id < 3 THEN 0.0::DOUBLE END AS dist FROM v
+  UNION ALL
+  SELECT k + 1, n, min(dist) FROM (
+    SELECT h.k, h.n, h.dist FROM h UNION ALL SELECT h.k, ed.t, h.dist + ed.w FROM h JOIN ed ON ed.s = h.n WHERE h.dist IS NOT NULL) WHERE k < 40 GROUP BY k, n)
+SELECT i AS interval, floor(dist / i)::BIGINT AS bucket, count(*) AS n FROM h, (VALUES (0.0313::DOUBLE), (0.0771::DOUBLE)) s(i) WHERE k = 40 AND dist IS NOT NULL GROUP BY ALL""")
+def _buckets(spark: SparkSession, d: str) -> DataFrame:
+    e = _pairs(spark, d, 0.3).where("ida < idb").select(F.col("ida").alias("src"), F.col("idb").alias("dst"), F.round("d2", 9).alias("w"))
+    s = _vectors(spark, d).where("id < 3").select(F.col("id").alias("node"), F.col("id").alias("base"))
+    return wood_paths.distance_buckets(graph.shortest_paths(e, s), [0.0313, 0.0771]).groupBy("interval", "bucket").agg(F.count("*").alias("n"))
+
+
+@query("slab_filter", " " + _stats_sql("points WHERE (x - 10.0) * 0.6 + (y - 10.0) * 0.8 >= 0 AND (x - 10.0) * 0.6 + (y - 10.0) * 0.8 <= 10", "segment_label"))
+def _slab(spark: SparkSession, d: str) -> DataFrame:
+    return _stats(wood_paths.slab(lens.points(spark, d), [10.0, 10.0, 0.0], [16.0, 18.0, 0.0]), "segment_label")
+
+
+@query("component_shapes", None)
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    return r6(wood_paths.classify_components(wood_paths.component_shapes(lens.points(spark, d), ["cover_set"])))
+
+
+@query("skeleton_edges", None)
+def _skeleton(spark: SparkSession, d: str) -> DataFrame:
+    return wood_paths.skeleton(_vectors(spark, d), "id", 6, 0.25, 3)
