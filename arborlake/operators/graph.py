@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         e = e.join(hu, "u").join(hv, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         e = materialise(e, "cc_edges")
         if e.isEmpty():
-            least = label.groupBy("root").agg(F.min("node").alias("component"))
+            # Written, so that the join deals both sides itself and can split a large component.
+            least = materialise(label.groupBy("root").agg(F.min("node").alias("component")), "cc_least")
             return label.join(least, "root").select("node", "component")
     raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
 
