@@ -1,16 +1,16 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 1. Each whole text becomes its set of distinct 5-word shingles (64-bit hashes), a 128-bit
-   key of that set, 125 minima and 25 bucket ids (25 bands of 5 minima: a pair at
-   similarity 0.85 shares no bucket with probability (1 - 0.85^5)^25 = 4e-7).
+   key of that set, 180 minima and 36 bucket ids (36 bands of 5 minima: a pair at
+   similarity 0.8 shares no bucket with probability (1 - 0.8^5)^36 = 6e-7).
 2. Rows with equal sets collapse to one *node*, so exact copies cost nothing later.
 3. Candidates are not all pairs of a bucket.  Round 1 compares each member with the
    bucket's smallest node; links found unite nodes.  Buckets whose members are then still
    in several classes are compared with the member that shares most buckets (the likely
    original), and what is left after that is compared pair by pair, but only across
    classes, each pair in its first common bucket, in blocks of bounded size, over
-   signatures of 500 minima, which leave few pairs that are not links.
-4. Each candidate is verified in batches of 25 minima (after BayesLSH): with a uniform prior
+   signatures of 480 minima, which leave few pairs that are not links.
+4. Each candidate is verified in batches of 30 minima (after BayesLSH): with a uniform prior
    the posterior of the similarity after m of n matches is Beta(m + 1, n - m + 1); the pair
    is dropped as soon as the chance that the similarity reaches the threshold falls below
    ``miss``.  Survivors are decided on the full shingle sets.
@@ -45,13 +45,13 @@ class NearDup:
     so many candidate nodes (16-byte keys) are sent to all executors to filter the texts;
     beyond that, the texts are joined by shuffle."""
 
-    percent: int = 85
+    percent: int = 80
     shingle: int = 5
-    bands: int = 25
+    bands: int = 36
     rows: int = 5
     miss: float = 1e-6
-    batch: int = 25
-    more: int = 500
+    batch: int = 30
+    more: int = 480
     block: int = 512
     broadcast_nodes: int = 400_000
 
@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
     else:
         cc = connected_components(links, "a", "b")
         own = nodes.select("node", "least_id").join(cc, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
-        least = own.groupBy("component").agg(F.min("least_id").alias("component_id"))
+        own = materialise(own, "nd_own")
+        least = materialise(own.groupBy("component").agg(F.min("least_id").alias("component_id")), "nd_least")
         classes = own.join(least, "component").select("node", "component_id", (F.col("node") == F.col("component")).alias("first"))
     out = rows.select("doc_id", "n_shingles", "node", "text_hash").join(classes, "node", "left")
     comp = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -286,6 +287,9 @@ def _links(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame | None:
     """Verified links between nodes, enough to connect every class; None if no bucket is shared."""
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("rep")).where("size > 1")
+    # Aggregates by bucket are written before they are joined by bucket: a join that deals both
+    # sides itself can split a bucket that holds many rows.
+    shared = materialise(shared, "nd_shared")
     members = materialise(entries.join(shared, "bucket").select("bucket", "node", "rep"), "nd_members")
     if members.isEmpty():
         return None
@@ -298,11 +302,11 @@ def _links(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame | None:
         return links
 
     # Round 2: the member that shares most open buckets with others is the likely original.
-    size = open_.groupBy("bucket").agg(F.count("*").alias("size"))
+    size = materialise(open_.groupBy("bucket").agg(F.count("*").alias("size")), "nd_size")
     weight = open_.join(size, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = open_.join(weight, "node")
     hub = weighed.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("rep"), F.max_by("cls", F.struct("weight", "node")).alias("rep_cls"))
-    second = materialise(open_.join(hub, "bucket"), "nd_members2")
+    second = materialise(open_.join(materialise(hub, "nd_hub"), "bucket"), "nd_members2")
     pairs = second.where("node <> rep and cls <> rep_cls").select(*_ordered(F.col("node"), F.col("rep"))).distinct()
     links = materialise(links.unionAll(linker.verify(pairs)), "nd_links2")
     open_ = _still_open(second.where("node <> rep").select("bucket", "node"), links)
@@ -310,7 +314,7 @@ def _links(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame | None:
         return links
 
     # The rest, whole: pairs across classes, by blocks of a bucket.
-    size = open_.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(p.block)).cast("int").alias("nb"))
+    size = materialise(open_.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(p.block)).cast("int").alias("nb")), "nd_blocks")
     rest = open_.join(size, "bucket").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rest = rest.select("bucket", "node", "cls", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
@@ -327,4 +331,5 @@ def _still_open(members: DataFrame, links: DataFrame) -> DataFrame:
     own = members.join(cc, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("cls"))
     own = materialise(own, "nd_classes")
     mixed = own.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket")
+    mixed = materialise(mixed, "nd_mixed")
     return materialise(own.join(mixed, "bucket", "left_semi"), "nd_open")

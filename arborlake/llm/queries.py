@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm import decontaminate, html_text, language_id, mixing, pitman_yor, topk, toxicity, warc
 from arborlake.llm.language_id import held_out
-from arborlake.llm.near_dedup import near_duplicates
+from arborlake.llm.near_dedup import NearDup, near_duplicates
 from arborlake.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(_table(spark, sf_dir, "documents"), NearDup(percent=85)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
