@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import geometry as G
 from arborlake.operators import fits, graph, metrics, segment, spatial, terrain, tiling, voxel, wood_paths
 from arborlake.operators.ordered import running_totals
-from arborlake.sources import lens
+from arborlake.sources import exports, lens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -751,3 +751,40 @@ def _shapes(spark: SparkSession, d: str) -> DataFrame:
 @query("skeleton_edges", None)
 def _skeleton(spark: SparkSession, d: str) -> DataFrame:
     return wood_paths.skeleton(_vectors(spark, d), "id", 6, 0.25, 3)
+
+
+# --- exports and small filters -----------------------------------------------------------
+
+_TEXT = ", ".join(f"coalesce(printf('%.6f', {c}), '') AS {c}" if c not in voxel.ZERO_COUNTS and c != "max_branch_order" else f"coalesce({c}::VARCHAR, '') AS {c}" for c in voxel.RESULT)
+
+
+@query("batch_voxel_text", f"{_RES} SELECT obs_id, size, {_TEXT} FROM res")
+def _batch_text(spark: SparkSession, d: str) -> DataFrame:
+    return exports.as_text(r6(voxel.batch_query(*_at(spark, d))), ["obs_id", "size"])
+
+
+@query("grid_denoise", ", c AS (SELECT floor(x / 4) AS a, floor(y / 4) AS b, floor(z / 4) AS e FROM points GROUP BY ALL HAVING count(*) >= 3) " + _stats_sql("points SEMI JOIN c ON floor(x / 4) = a AND floor(y / 4) = b AND floor(z / 4) = e", "segment_label"))
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    return _stats(tiling.grid_denoise(lens.points(spark, d), 4.0, 3), "segment_label")
+
+
+@query("two_nearest_bases", f"WITH {_E}, n AS (SELECT a.id AS ida, b.id AS idb, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id)::INTEGER AS rank FROM v a, v b WHERE a.label >= 5 AND b.id % 9 = 0 AND a.id <> b.id) SELECT * FROM n WHERE rank <= 2")
+def _two(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.knn(_vectors(spark, d, "a").where("labela >= 5"), _vectors(spark, d, "b").where("idb % 9 = 0"), 2, _XA, _XB, "ida", "idb", 0.5).select("ida", "idb", "rank")
+
+
+@query("matched_fields", " SELECT 1::BIGINT AS n_fields, count(*) AS n FROM points WHERE segment_label < 0")
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    p = lens.points(spark, d).withColumn("y", F.floor("y").cast("double")).withColumn("blank", F.lit(0.0))
+    j = tiling.drop_unmatched_fields(tiling.mm_join(p.where("segment_label < 0"), p.where("segment_label >= 5"), ["intensity", "blank"], ["order_key", "line_no", "z", "intensity"]))
+    return j.agg(F.lit(sum(c.startswith("field_") for c in j.columns)).cast("long").alias("n_fields"), F.count("*").alias("n"))
+
+
+@query("radius_class_json", " SELECT '{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}' AS json FROM (SELECT g.k, count(c.k) AS n FROM (SELECT unnest(['twig', 'small', 'med', 'large']) AS k) g LEFT JOIN (SELECT CASE WHEN radius <= 0 THEN 'large' WHEN radius <= 0.02::DOUBLE THEN 'twig' WHEN radius <= 0.05::DOUBLE THEN 'small' WHEN radius <= 0.1::DOUBLE THEN 'med' ELSE 'large' END AS k FROM cylinders) c ON g.k = c.k GROUP BY g.k)")
+def _json(spark: SparkSession, d: str) -> DataFrame:
+    return exports.class_json(metrics.radius_classes(lens.cylinders(spark, d)))
+
+
+@query("principal_axes", None)
+def _axes(spark: SparkSession, d: str) -> DataFrame:
+    return r6(fits.principal_axes(fits.covariance(lens.points(spark, d), ["cover_set"]), ["cover_set"]))

@@ -60,3 +60,23 @@ def curvature(cov: DataFrame) -> DataFrame:
     """Surface variation and linearity from covariances."""
     l0, l1, l2 = eigenvalues(*[F.col(c) for c in ("xx", "yy", "zz", "xy", "xz", "yz")])
     return cov.withColumn("curvature", F.try_divide(F.greatest(l0, F.lit(0.0)), l0 + l1 + l2)).withColumn("linearity", F.try_divide(l2 - l1, l2))
+
+
+def principal_axes(cov: DataFrame, keys: list[str]) -> DataFrame:
+    """Unit vector of the largest spread of each group, z up, from its covariances; one small
+    matrix a row."""
+    import numpy as np
+    import pandas as pd
+
+    names = ["xx", "yy", "zz", "xy", "xz", "yz"]
+    fields = ", ".join(f"{k} {cov.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for pdf in batches:
+            xx, yy, zz, xy, xz, yz = (pdf[c].to_numpy(np.float64) for c in names)
+            m = np.stack([np.stack([xx, xy, xz], 1), np.stack([xy, yy, yz], 1), np.stack([xz, yz, zz], 1)], 1)
+            v = np.linalg.eigh(m)[1][:, :, 2] if len(m) else np.zeros((0, 3))
+            v = np.where(v[:, 2:] < 0, -v, v)
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(v, columns=["ax", "ay", "az"])], axis=1)
+
+    return cov.select(*keys, *names).mapInPandas(run, f"{fields}, ax double, ay double, az double")

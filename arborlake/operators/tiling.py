@@ -110,3 +110,23 @@ def layer_index(z: Column, min_height: float = 0.0, base_height: float = 0.3, la
     k = (z - base_height) / layer_size
     up = F.floor(k)
     return F.when((z > min_height) & (z < base_height), F.lit(0)).when((z > base_height) & (k != up), up.cast("int") + 1)
+
+
+def grid_denoise(pts: DataFrame, cell: float = 0.1, min_points: int = 3) -> DataFrame:
+    """Points of cells that hold at least min_points points."""
+    key = [F.floor(F.col(a) / cell).alias(f"_v{a}") for a in "xyz"]
+    full = pts.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points)
+    on = [F.floor(pts[a] / cell) == full[f"_v{a}"] for a in "xyz"]
+    return pts.join(full, on[0] & on[1] & on[2], "left_semi")
+
+
+def matched_fields(joined: DataFrame, prefix: str = "field_") -> list[str]:
+    """Joined fields that some point has with a value other than 0."""
+    names = [c for c in joined.columns if c.startswith(prefix)]
+    hit = joined.agg(*[F.max((F.coalesce(F.col(c), F.lit(0)) != 0).cast("int")).alias(c) for c in names]).first()
+    return [c for c in names if hit[c]]
+
+
+def drop_unmatched_fields(joined: DataFrame, prefix: str = "field_") -> DataFrame:
+    keep = set(matched_fields(joined, prefix))
+    return joined.select(*[c for c in joined.columns if not c.startswith(prefix) or c in keep])
