@@ -180,7 +180,7 @@ def fit_link(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     centre, scale = s.mean(axis=0), np.maximum(s.std(axis=0), 1e-6)
     a = np.c_[np.ones(len(s)), (s - centre) / scale]
     w = np.zeros(a.shape[1])
-    ridge = np.diag([1e-6, *[0.05] * s.shape[1]])
+    ridge = np.diag([1e-6, *[0.5] * s.shape[1]])
     for _ in range(40):
         q = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         g = a.T @ (q - y) + ridge @ w
