@@ -52,7 +52,7 @@ class NearDup:
     miss: float = 1e-6
     batch: int = 30
     more: int = 480
-    block: int = 512
+    block: int = 2048
     broadcast_nodes: int = 400_000
 
 
