@@ -47,11 +47,11 @@ class Tox:
     counts as evidence; ``most``: largest ratio of one word.  ``threshold``: score from which
     a text is predicted toxic."""
 
-    sample: int = 10_000
+    sample: int = 24_000
     depth: int = 12
     discount: float = 0.75
-    least: int = 3
-    close: float = 0.25
+    least: int = 2
+    close: float = 0.0
     strong: float = 2.0
     most: float = 8.0
     threshold: float = 0.3
