@@ -2,9 +2,10 @@
 
 One pass sums the words of each source (a map-side aggregate, so a source that holds a third
 of all rows costs no more).  The per-source table gives each source's target; the second
-pass emits each document floor(rate) times, and once more if a hash of its id, as a number
-in [0, 1), falls below the rate's fraction.  The hash depends on the id and the seed alone,
-so reruns and retried tasks agree.
+pass emits each document floor(rate) times, and once more if a hash of its id and text, as a
+number in [0, 1), falls below the rate's fraction.  The hash depends on id, text and the seed
+alone, so reruns and retried tasks agree, and rows that share an id, or have none, are drawn
+apart as long as their texts differ.
 
 Rates are targets over source sizes; with ``cap`` = 2 a rate of 2 leaves no fraction, so no
 document is taken more than twice.
@@ -72,12 +73,12 @@ def mix(docs: DataFrame, p: Mix = Mix(), keep: list[str] | None = None) -> DataF
     columns named in ``keep`` packed as struct ``row``.
 
     Null or empty text: size 0, and nothing is taken whatever its copies.  Null source: a source of its own,
-    last in order.  Null id: hashed as the empty string.  Repeated rows: one result each,
-    with equal copies.  Empty table: empty result."""
+    last in order.  Null id or text: hashed as the empty string.  Repeated rows: one result
+    each, with equal copies.  Empty table: empty result."""
     targets = materialise(source_targets(docs, p), "mix_targets")
     few = targets.limit(p.broadcast_sources + 1).count() <= p.broadcast_sources
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
-    cols = [F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")]
+    cols = [F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_key")]
     if keep is not None:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
     rows = docs.select(*cols)
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, p: Mix = Mix(), keep: list[str] | None = None) -> DataF
     else:
         j = rows.join(t, F.coalesce(F.concat(F.lit("s"), rows.source), F.lit("-")) == F.coalesce(F.concat(F.lit("s"), t.t_source), F.lit("-")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    digest = F.md5(F.concat(F.lit(f"{p.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{p.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text_key")).cast("binary"))
     u = F.conv(F.substring(digest, 1, _HEX), 16, 10).cast("long") / F.lit(_SPAN)
     copies = (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
     out = j.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *(["row"] if keep is not None else []))
@@ -106,7 +107,7 @@ def mixed_documents(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
 #: The same rows in DuckDB.
 ORACLE = """
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_key, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT source, source_size, ([3, 1, 2])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)]::BIGINT AS weight FROM s0),
 s2 AS (
@@ -120,7 +121,7 @@ s5 AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, coalesce(lev
 r AS (
   SELECT d.doc_id, d.size, s5.source_size, s5.target,
     CASE WHEN s5.source_size > 0 THEN s5.target / s5.source_size ELSE 0.0::DOUBLE END AS rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.text_key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
 SELECT doc_id, size, source_size, target,
   (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size AS taken

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from arborlake.llm import decontaminate, html_text, language_id, mixing, pitman_yor, topk, toxicity, warc
 from arborlake.llm.language_id import held_out
 from arborlake.llm.near_dedup import NearDup, near_duplicates
-from arborlake.llm.token_counts import token_counts
+from arborlake.llm.token_counts import TokenCount, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Where the box keeps a public tokenizer's vocabulary.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_table(spark, sf_dir, "documents"))
+    return token_counts(_table(spark, sf_dir, "documents"), TokenCount(VOCABULARY))
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +68,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.resolve_revisits(warc.page_captures(_table(spark, sf_dir, "pages")))
+    out = warc.resolve_revisits(warc.page_captures(_table(spark, sf_dir, "pages")), keep=("page_id",))
     h = F.col("headers")
     return out.select(
-        F.substring_index("record_id", "-", 1).cast("long").alias("page_id"), "record_id", "url_key", "warc_type", "validator", "resolved", "status", "refers_to",
+        "page_id", "record_id", "url_key", "warc_type", "validator", "resolved", "status", "refers_to",
         h["etag"].alias("etag"), h["date"].alias("date"), h["cache-control"].alias("cache_control"), h["content-type"].alias("content_type"),
     )
 

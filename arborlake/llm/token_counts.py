@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from arborlake.llm.batches import small_batches
 
 END = 256
-DEFAULT_VOCAB = "/opt/tokenizers/word_bpe_49k.json"
 #: Runs of letters, single digits, runs of other characters; white space separates.
 WORDS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -135,11 +134,11 @@ class TokenCount:
     """``vocab``: path of the vocabulary file, read by the driver.  ``max_vocab_bytes``: the
     automaton is broadcast, so a file beyond this size is refused."""
 
-    vocab: str = DEFAULT_VOCAB
+    vocab: str
     max_vocab_bytes: int = 64 << 20
 
 
-def token_count_column(spark: SparkSession, p: TokenCount = TokenCount()):
+def token_count_column(spark: SparkSession, p: TokenCount):
     """A function Column -> struct<n_words, n_tokens> over whole texts.  Null or empty text:
     zeros.  Words are lower-cased as the vocabulary is."""
     import os
@@ -164,7 +163,7 @@ def token_count_column(spark: SparkSession, p: TokenCount = TokenCount()):
     return count
 
 
-def token_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", p: TokenCount = TokenCount()) -> DataFrame:
+def token_counts(docs: DataFrame, p: TokenCount, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_tokens for every row, repeated rows included; row order, other
     columns and partitioning play no part."""
     count: Column = token_count_column(docs.sparkSession, p)(F.col(text).cast("string"))

@@ -65,10 +65,10 @@ def _bare(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), r"^W/", "")
 
 
-def resolve_revisits(records: DataFrame, p: Revisit = Revisit(), with_payload: bool = False) -> DataFrame:
-    """records as in ``RECORD`` (other columns are not read).  One row per record: record_id,
-    url_key, warc_type, status, refers_to, validator, resolved, headers (merged) and, if asked
-    for, payload.
+def resolve_revisits(records: DataFrame, p: Revisit = Revisit(), with_payload: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """records as in ``RECORD`` (of other columns those in ``keep`` are carried along).  One
+    row per record: record_id, url_key, warc_type, status, refers_to, validator, resolved,
+    headers (merged), the columns of ``keep`` and, if asked for, payload.
 
     A record of type "revisit" looks for the latest record of type "response" with status 200
     and the same canonical URL that is strictly earlier (of equal times the larger record_id
@@ -85,7 +85,7 @@ def resolve_revisits(records: DataFrame, p: Revisit = Revisit(), with_payload: b
     h = lower_keys(F.col("headers"))
     r = records.select(
         F.col("record_id").cast("string").alias("record_id"), canonical_url(F.col("url").cast("string")).alias("url_key"), "ts",
-        F.lower(F.col("warc_type").cast("string")).alias("warc_type"), F.col("status").cast("int").alias("status"), h.alias("headers"),
+        F.lower(F.col("warc_type").cast("string")).alias("warc_type"), F.col("status").cast("int").alias("status"), h.alias("headers"), *[F.col(c) for c in keep],
     )
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     r = r.withColumn("us", us)
@@ -113,7 +113,7 @@ def resolve_revisits(records: DataFrame, p: Revisit = Revisit(), with_payload: b
     part = part.withColumn("base", F.coalesce("within", "before"))
 
     others = r.where(~F.coalesce((F.col("warc_type") == "revisit") & usable, F.lit(False))).withColumn("base", F.lit(None).cast(part.schema["base"].dataType))
-    cols = ["record_id", "url_key", "warc_type", "status", "headers", "base"]
+    cols = ["record_id", "url_key", "warc_type", "status", "headers", "base", *keep]
     j = part.select(*cols).unionByName(others.select(*cols))
     mine, theirs = lambda k: F.col("headers")[k], lambda k: F.col("base.headers")[k]
     compared = (
@@ -130,7 +130,7 @@ def resolve_revisits(records: DataFrame, p: Revisit = Revisit(), with_payload: b
         F.when(F.col("resolved"), F.col("base.status")).otherwise(F.col("status")).alias("status"),
         F.when(F.col("resolved"), F.col("base.record_id")).alias("refers_to"),
         "validator", "resolved",
-        F.when(F.col("resolved"), merged).otherwise(F.col("headers")).alias("headers"),
+        F.when(F.col("resolved"), merged).otherwise(F.col("headers")).alias("headers"), *keep,
     )
     if with_payload:
         body = records.select(F.col("record_id").cast("string").alias("b_id"), "payload").groupBy("b_id").agg(F.first("payload", ignorenulls=True).alias("payload"))
@@ -142,7 +142,8 @@ def page_captures(pages: DataFrame) -> DataFrame:
     """``pages`` seen as captures.  Each page is a full response, a second after the one with
     the id before, with Last-Modified and, but for every fifth, an ETag.  By a digest of its
     id every third page is fetched again a day later; the server answers "not modified" with
-    the validators that the page had, or, for every seventh, with those of another state."""
+    the validators that the page had, or, for every seventh, with those of another state.
+    page_id goes along."""
     n = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 6), 16, 10).cast("long")
     digest = F.md5(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary"))
     none = F.expr("cast(map() as map<string,string>)")
@@ -152,13 +153,14 @@ def page_captures(pages: DataFrame) -> DataFrame:
         tag = F.when(n % 5 != 0, F.create_map(F.lit("ETag"), F.concat(F.lit('"'), state, F.lit('"')))).otherwise(none)
         return F.map_concat(F.create_map(F.lit("Last-Modified"), F.substring(state, 1, 8), F.lit("Date"), date.cast("string")), tag, rest)
 
+    page = F.col("page_id").cast("long").alias("page_id")
     first = pages.select(
-        F.col("page_id").cast("string").alias("record_id"), F.lit("response").alias("warc_type"), "url", F.timestamp_seconds(t).alias("ts"), F.lit(200).alias("status"),
+        page, F.col("page_id").cast("string").alias("record_id"), F.lit("response").alias("warc_type"), "url", F.timestamp_seconds(t).alias("ts"), F.lit(200).alias("status"),
         headers(digest, t, F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Cache-Control"), F.lit("no-store"))).alias("headers"), F.col("html").cast("binary").alias("payload"),
     )
     state = F.when(n % 7 == 0, F.reverse(digest)).otherwise(digest)
     again = pages.where(n % 3 == 0).select(
-        F.concat(F.col("page_id").cast("string"), F.lit("-again")).alias("record_id"), F.lit("revisit").alias("warc_type"), "url", F.timestamp_seconds(t + 86_400).alias("ts"), F.lit(304).alias("status"),
+        page, F.concat(F.col("page_id").cast("string"), F.lit("-again")).alias("record_id"), F.lit("revisit").alias("warc_type"), "url", F.timestamp_seconds(t + 86_400).alias("ts"), F.lit(304).alias("status"),
         headers(state, t + 86_400, F.create_map(F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Type"), F.lit("none"))).alias("headers"), F.lit(None).cast("binary").alias("payload"),
     )
     return first.unionAll(again)
