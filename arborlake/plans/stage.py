@@ -32,4 +32,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "stage", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind ``df``, if ``materialise`` wrote it; for tables that nothing will
+    read any more."""
+    path = getattr(df, "_stage_path", None)
+    if path:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
