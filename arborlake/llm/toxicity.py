@@ -1,20 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-Two letter models, one of toxic and one of ordinary texts, give each word's likelihood
-letter by letter, the context being the word's beginning.  With discount D, C class counts
-(documents that hold a word with this beginning) and T distinct next letters,
+Two models, one of toxic and one of ordinary texts, give each word a probability.  With n
+the class's Kneser-Ney count (after how many different words it stands there, so copies of a
+text add nothing), N their sum, V distinct words and discount D,
 
-    p_class(x | h) = (max(C(hx) - D, 0) + D T(h) p_shared(x | h)) / C(h)
+    p_class(w) = (max(n(w) - D, 0) + D V p_shared(w)) / N
 
-and p_shared is the same form over the counts of both classes, backing off to how many
-beginnings the letter continues after the last letter, and that to all letters.  So a rare
-word, which both classes hardly know, gets nearly equal likelihoods from the shared counts,
-and an inflected form takes over what is known of its stem.
+The shared back-off counts are of the same kind: a word counts once for each class that knows
+it, however often.  So what one class has seen a hundred times and the other never tells much,
+and what a class has seen once tells little.  The shared counts back off to the word's
+spelling, letter by letter: the class's counts of (up to ``order`` letters before, letter) over
+its distinct words, over shared counts of the same (again once for each class), over those of
+shorter contexts, down to equal letters.  An inflected form that no label knows thus takes
+over what is known of its stem.
 
-A text's log-likelihood ratios by word are brought to figures that do not grow with its
-length (mean, log-mean of the ratios, mean of the two largest, evidence per root of the
-length); a logistic link, fitted on texts that the counts have not seen, turns them into a
-score.
+A text's figures are the words' log-likelihood ratios, normalised in different ways by its
+length: their mean, the log of the mean ratio, the mean of the two largest, and the evidence
+beyond ``strong`` per root of the length; with the log of that evidence and of the length they
+go into a logistic link, fitted on texts that the counts have not seen.
 
 The models are fitted on a bounded sample of labelled rows: about ``sample`` of them, those
 with the smallest id hashes.  Scores cover every row and whole texts.
@@ -22,162 +25,237 @@ with the smallest id hashes.  Scores cover every row and whole texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.batches import small_batches
+from arborlake.llm.textkit import mix64
+from arborlake.llm.word_chunks import find
 from arborlake.plans.stage import materialise
 
-EDGE = ".,;:!?\"'()[]{}<>*#~_-…«»“”„’"
-STATS = ["mean", "log_mean", "top2", "per_root"]
+STATS = ["mean", "log_mean", "top2", "per_root", "log_strong", "log_length"]
+#: A run of letters; everything else parts words.
+_WORD = re.compile(r"[^\W\d_]+")
+_START, _STOP = 1, 2  # control characters, so no letters: before and after a word
+_FACTOR = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(32)], dtype=np.uint64)
 
 
 @dataclass(frozen=True)
 class Tox:
-    """``sample``: labelled rows that fit the models; every fifth of them fits the link.
-    ``depth``: longest beginning of a word.  ``least``: documents that must share a beginning
-    before it is a context of its own.  ``close``: see ``fit_nodes``.  ``strong``: ratio (natural log) beyond which a word
-    counts as evidence; ``most``: largest ratio of one word.  ``threshold``: score from which
-    a text is predicted toxic."""
+    """``sample``: labelled rows that fit the models; every fourth of them fits the link.
+    ``order``: letters of context (31 at most).  ``strong``: ratio (natural log) beyond which a word counts
+    as evidence; ``most``: largest ratio of one word.  ``threshold``: score from which a text
+    is predicted toxic.  ``remember``: letters of words whose ratios a worker keeps."""
 
     sample: int = 24_000
-    depth: int = 12
-    discount: float = 0.75
-    least: int = 2
-    close: float = 0.0
+    order: int = 6
+    discount: float = 0.85
     strong: float = 2.0
     most: float = 8.0
     threshold: float = 0.3
+    remember: int = 4_000_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for t in text.lower().split() if (w := t.strip(EDGE))] if text else []
-
-
-class Ratios(dict):
-    """word -> log-likelihood ratio, walking the kept beginnings; bounded."""
-
-    def __init__(self, nodes: dict[str, int], total: np.ndarray, leave: np.ndarray, depth: int, most: float, limit: int = 150_000) -> None:
-        super().__init__()
-        self.nodes, self.total, self.leave, self.depth, self.most, self.limit = nodes, total.tolist(), leave.tolist(), depth, most, limit
-
-    def __missing__(self, word: str) -> float:
-        s, at = word[: self.depth - 1] + "\n", self.nodes[""]
-        if len(word) >= self.depth:
-            s = word[: self.depth]
-        for i in range(1, len(s) + 1):
-            down = self.nodes.get(s[:i])
-            if down is None:
-                r = self.total[at] + self.leave[at]
-                break
-            at = down
+    return _WORD.findall(text.lower()) if text else []
+
+
+def _spell(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All letters and ends of the words: their codes, how many letters (with the start) stand
+    before each in its word, and where each word begins."""
+    codes = np.frombuffer("".join(f"{chr(_START)}{w}{chr(_STOP)}" for w in words).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    begin = np.flatnonzero(codes == _START)
+    place = np.arange(len(codes)) - np.repeat(begin, np.diff(np.append(begin, len(codes))))
+    return codes, np.minimum(place, order), begin
+
+
+def _context_sums(codes: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """For context lengths 0 to ``order``: one number for the codes before each place."""
+    total = np.zeros(len(codes), dtype=np.uint64)
+    yield total
+    for k in range(1, order + 1):
+        total = total.copy()
+        total[k:] += mix64(codes[:-k]) * _FACTOR[k]
+        yield total
+
+
+def _gram(context: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return mix64(context + mix64(codes + np.uint64(7)) * _FACTOR[0])
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def count_letters(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, k: int) -> pd.DataFrame:
+    """Letters after contexts of k letters, over distinct words: key, context, key after one
+    letter less of context, and the number of words of each class."""
+    codes, before, begin = _spell(words, k)
+    sums = list(_context_sums(codes, k))[-2:]
+    ok = (before >= k) & (codes != _START)
+    of = np.repeat(np.arange(len(words)), np.diff(np.append(begin, len(codes))))[ok]
+    key, context, shorter = _gram(sums[-1][ok], codes[ok]), mix64(sums[-1][ok] + np.uint64(k)), _gram(sums[0][ok], codes[ok])
+    (a, n), (b, m) = _runs(key[toxic[of]]), _runs(key[ordinary[of]])
+    every, first = np.unique(key, return_index=True)
+    out = pd.DataFrame({"key": every, "context": context[first], "shorter": shorter[first], "toxic": 0, "ordinary": 0})
+    out.loc[np.searchsorted(every, a), "toxic"] = n
+    out.loc[np.searchsorted(every, b), "ordinary"] = m
+    return out
+
+
+@dataclass
+class Letters:
+    """For each context length: keys of letters in context, sorted, with the probabilities
+    toxic, ordinary and shared; contexts, sorted, with what each of the three leaves over."""
+
+    alphabet: int = 1
+    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def learn(self, counts: pd.DataFrame, d: float) -> None:
+        """Add the next context length, from ``count_letters``."""
+        if not self.grams:
+            self.alphabet = len(counts) + 1  # one more for letters never seen
+        key = counts["key"].to_numpy(np.uint64)
+        c = counts[["toxic", "ordinary"]].to_numpy(np.float64)
+        c = np.c_[c, (c > 0).sum(axis=1)]  # shared: once for each class
+        context, at = np.unique(counts["context"].to_numpy(np.uint64), return_inverse=True)
+        total = np.stack([np.bincount(at, c[:, j], len(context)) for j in range(3)], axis=1)
+        kept = np.stack([np.bincount(at, np.minimum(c[:, j], d), len(context)) for j in range(3)], axis=1)
+        left = np.where(total > 0, kept / np.maximum(total, 1e-9), 1.0)
+        if self.grams:
+            keys, probs = self.grams[-1]
+            lower = probs[find(keys, counts["shorter"].to_numpy(np.uint64)), 2].astype(np.float64)
         else:
-            r = self.total[at]
-        r = min(self.most, max(-self.most, r))
-        if len(self) >= self.limit:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = r
-        return r
+            lower = np.full(len(key), 1.0 / self.alphabet)
+        own = np.where(total[at] > 0, np.maximum(c - d, 0) / np.maximum(total[at], 1e-9), 0.0)
+        shared = own[:, 2] + left[at, 2] * lower
+        probs = np.c_[own[:, 0] + left[at, 0] * shared, own[:, 1] + left[at, 1] * shared, shared]
+        order = np.argsort(key)
+        self.grams.append((key[order], probs[order].astype(np.float32)))
+        self.contexts.append((context, left.astype(np.float32)))
+
+    def log_probs(self, words: list[str]) -> np.ndarray:
+        """Natural logs of the words' spellings, their ends included: toxic, ordinary.  From
+        the longest context down until the letter is known there."""
+        out = np.zeros((len(words), 2))
+        top = len(self.grams) - 1
+        if top < 0 or not words:
+            return out
+        codes, before, begin = _spell(words, top)
+        sums = list(_context_sums(codes, top))
+        todo = np.flatnonzero(codes != _START)
+        p = np.ones((len(codes), 2))
+        rest = np.ones(len(codes))  # what the shared contexts passed so far leave over
+        seen = np.zeros(len(codes), dtype=bool)
+        for k in range(top, -1, -1):
+            here = todo[before[todo] >= k]
+            (keys, probs), (contexts, left) = self.grams[k], self.contexts[k]
+            at = find(keys, _gram(sums[k][here], codes[here]))
+            hit, known = here[at >= 0], probs[at[at >= 0]]
+            p[hit] = np.where(seen[hit, None], p[hit] * (rest[hit] * known[:, 2])[:, None], known[:, :2])
+            miss = here[at < 0]
+            at = find(contexts, mix64(sums[k][miss] + np.uint64(k)))
+            miss, over = miss[at >= 0], left[at[at >= 0]]
+            new = ~seen[miss]
+            p[miss[new]] = over[new, :2]
+            seen[miss] = True
+            rest[miss] *= over[:, 2]
+            done = np.zeros(len(codes), dtype=bool)
+            done[hit] = True
+            todo = todo[~done[todo]]
+        p[todo] *= (rest[todo] / self.alphabet)[:, None]
+        p[codes == _START] = 1.0
+        return np.add.reduceat(np.log(np.maximum(p, 1e-300)), begin, axis=0)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), dtype=np.uint64, count=len(words))
 
 
 @dataclass
 class Model:
+    """``known``: hashes of the learned words, sorted, with ``counts`` (toxic, ordinary).
+    ``span``: least and largest figures that the link was fitted on; beyond them it is level."""
+
     params: Tox
-    names: list[str]
-    total: np.ndarray
-    leave: np.ndarray
     prior: float
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    letters: Letters = field(default_factory=Letters)
     centre: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
-    ratios: Ratios | None = None
+    span: np.ndarray | None = None
+    memory: dict[str, float] = field(default_factory=dict)
+    held: int = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"ratios": None}
-
-    def stats(self, texts) -> np.ndarray:
-        if self.ratios is None:
-            self.ratios = Ratios({n: i for i, n in enumerate(self.names)}, self.total, self.leave, self.params.depth, self.params.most)
-        get, p = self.ratios.__getitem__, self.params
-        out = np.zeros((len(texts), len(STATS)))
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            if words:
-                s = np.fromiter(map(get, words), dtype=np.float64, count=len(words))
-                two = np.partition(s, -2)[-2:].mean() if len(s) > 1 else s[0] / 2
-                out[i] = s.mean(), np.log(np.exp(s).mean()), two, np.maximum(s - p.strong, 0).sum() / np.sqrt(len(s))
+        return self.__dict__ | {"memory": {}, "held": 0}
+
+    def probs(self, words: list[str]) -> np.ndarray:
+        """p(word): toxic, ordinary."""
+        d, n = self.params.discount, self.counts
+        at = find(self.known, _hashes(words))
+        c = np.where(at[:, None] >= 0, n[at] if len(n) else 0.0, 0.0)
+        classes, kinds = (c > 0).sum(axis=1), (n > 0).sum(axis=0)
+        spelled = np.exp(self.letters.log_probs(words))
+        shared = (np.maximum(classes - d, 0)[:, None] + d * len(n) * spelled) / kinds.sum()
+        return (np.maximum(c - d, 0) + d * kinds * shared) / n.sum(axis=0)
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        p = np.log(np.maximum(self.probs(words), 1e-300))
+        return np.clip(p[:, 0] - p[:, 1], -self.params.most, self.params.most)
+
+    def stats(self, texts, step: int = 50_000) -> np.ndarray:
+        """STATS of each text; the ratios of new words are found for many texts at once."""
+        p, out, i = self.params, np.full((len(texts), len(STATS)), np.nan), 0
+        while i < len(texts):
+            group, new = [], {}
+            while i + len(group) < len(texts) and len(new) < step and sum(map(len, group[-1:])) < 10 * step:
+                group.append(words_of(texts[i + len(group)]))
+                new.update((w, None) for w in group[-1] if w not in self.memory)
+            found = list(new)
+            size = 0
+            for a in range(0, len(found), step):  # a text may hold any number of words
+                part = found[a : a + step]
+                self.memory.update(zip(part, self.ratios(part).tolist()))
+            size = sum(map(len, found))
+            get = self.memory.__getitem__
+            for words in group:
+                if words:
+                    s, n = np.fromiter(map(get, words), dtype=np.float64, count=len(words)), len(words)
+                    two = np.partition(s, -2)[-2:].mean() if n > 1 else s[0] / 2
+                    strong = np.maximum(s - p.strong, 0).sum()
+                    out[i] = s.mean(), np.log(np.exp(s).mean()), two, strong / np.sqrt(n), np.log1p(strong), np.log(n)
+                i += 1
+            self.held += size
+            if self.held > p.remember:
+                self.memory.clear()
+                self.held = 0
         return out
 
     def score(self, texts) -> np.ndarray:
+        """Scores of texts; without a word, or with nothing learned, the share of toxic labels."""
         if self.weights is None:
             return np.full(len(texts), self.prior)
-        z = np.c_[np.ones(len(texts)), (self.stats(texts) - self.centre) / self.scale] @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-
-
-def _codes(a: pa.Array) -> tuple[np.ndarray, int]:
-    d = a.dictionary_encode()
-    return d.indices.to_numpy(), len(d.dictionary)
-
-
-def fit_nodes(counts: pa.Table, p: Tox) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """counts: one row per (h, x): beginning h, next letter x ("\n": end), documents toxic
-    and ordinary; x = "\0" sums a context's rare letters.  Returns the kept beginnings, each
-    with the log ratio up to it and the log ratio of leaving it for an unknown letter.  A
-    beginning that leads no further and whose ratio is within ``close`` of what leaving its
-    context would give is dropped."""
-    h, x = (counts[c].combine_chunks() for c in ("h", "x"))
-    c = np.stack([counts[k].to_numpy() for k in ("toxic", "ordinary")], axis=1).astype(np.float64)
-    both, d = c.sum(axis=1), p.discount
-    at, m = _codes(h)
-    size = np.stack([np.bincount(at, c[:, k], m) for k in (0, 1)], axis=1)
-    kinds = np.stack([np.bincount(at, np.minimum(c[:, k], d), m) for k in (0, 1)], axis=1)  # discounted mass
-    letter, n_letters = _codes(x)
-    base = (np.bincount(letter, minlength=n_letters) + 1) / (len(letter) + n_letters)
-    last, n_last_codes = _codes(pc.utf8_slice_codeunits(h, -1, stop=None))
-    code, inv = np.unique(last.astype(np.int64) * n_letters + letter, return_inverse=True)
-    n_pair, n_last = np.bincount(inv), np.bincount(last, minlength=n_last_codes)
-    t_last = np.bincount(code // n_letters, minlength=n_last_codes)
-    p2 = (np.maximum(n_pair[inv] - d, 0) + d * t_last[last] * base[letter]) / n_last[last]
-    t_both, n_both = np.bincount(at, minlength=m), size.sum(axis=1)
-    shared = (np.maximum(both - d, 0) + d * t_both[at] * p2) / n_both[at]
-    lam = np.where(size > 0, kinds / np.maximum(size, 1e-9), 1.0)
-    prob = np.stack([np.where(size[at, k] > 0, np.maximum(c[:, k] - d, 0) / np.maximum(size[at, k], 1e-9), 0) + lam[at, k] * shared for k in (0, 1)], axis=1)
-    step = np.log(prob[:, 0] / prob[:, 1])
-    leave = np.log(np.maximum(lam[:, 0], 1e-6) / np.maximum(lam[:, 1], 1e-6))
-
-    # Rows as nodes hx; the parent row is the one whose hx is this row's h.
-    full = pc.binary_join_element_wise(h, x, "")
-    depth = pc.utf8_length(h).to_numpy(zero_copy_only=False)
-    parent = pc.fill_null(pc.index_in(h, value_set=full), -1).to_numpy(zero_copy_only=False)
-    own = pc.fill_null(pc.index_in(full, value_set=h.dictionary_encode().dictionary), -1).to_numpy(zero_copy_only=False)
-    out = np.where(own >= 0, leave[own], 0.0)
-    root = float(leave[at[depth == 0][0]]) if (depth == 0).any() else 0.0
-    total, live = np.zeros(len(both)), both >= p.least
-    for k in range(int(depth.max()) + 1):
-        rows = np.flatnonzero(depth == k)
-        if k:
-            live[rows] &= (parent[rows] >= 0) & live[parent[rows]]
-        total[rows] = step[rows] + (total[parent[rows]] if k else 0.0)
-    before = np.where(parent >= 0, total[parent] + out[parent], root)
-    for k in range(int(depth.max()), -1, -1):
-        kids = np.bincount(parent[live & (parent >= 0)], minlength=len(both))
-        live &= ~((depth == k) & (kids == 0) & (np.abs(total - before) < p.close))
-    kept = np.flatnonzero(live)
-    return ["", *full.take(pa.array(kept)).to_pylist()], np.append(0.0, total[kept]), np.append(root, out[kept])
+        s = np.clip(self.stats(texts), *self.span)
+        z = np.c_[np.ones(len(s)), (s - self.centre) / self.scale] @ self.weights
+        return np.where(np.isnan(z), self.prior, 1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
 def fit_link(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression by Newton steps."""
-    centre, scale = s.mean(axis=0), np.maximum(s.std(axis=0), 1e-6)
+    centre, scale = s.mean(axis=0), s.std(axis=0)
+    scale = np.where(scale > 1e-3, scale, 1.0)  # a figure that never changes gets no weight
     a = np.c_[np.ones(len(s)), (s - centre) / scale]
     w = np.zeros(a.shape[1])
     ridge = np.diag([1e-6, *[0.5] * s.shape[1]])
@@ -198,50 +276,67 @@ def fit(docs: DataFrame, labels: DataFrame, p: Tox = Tox()) -> Model:
     score is 0, with labels of one class it is their share."""
     lab = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where("l_id is not null and toxic in (0, 1)")
     lab = lab.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
-    small_batches(docs.sparkSession)
     total = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = sum(total.values())
     prior = total.get(1, 0) / n if n else 0.0
     if len(total) < 2:
-        return Model(p, [""], np.zeros(1), np.zeros(1), prior)
+        return Model(p, prior)
     unit = F.conv(F.substring(F.md5(F.concat(F.lit("tox:"), F.col("l_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    lab = lab.where(unit < int(min(1.0, p.sample / n) * (1 << 32))).withColumn("aside", unit % 5 == 0)
+    lab = lab.where(unit < int(min(1.0, p.sample / n) * (1 << 32))).withColumn("aside", unit % 4 == 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(lab), rows.doc_id == lab.l_id).select("text", "toxic", "aside")  # about ``sample`` labels
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: dict[str, list[int]] = {}
+            seen: tuple[set, set] = set(), set()
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                for w in set(words_of(text)):
-                    seen.setdefault(w[: p.depth], [0, 0])[1 - toxic] += 1
-            yield pd.DataFrame({"w": list(seen), "toxic": [v[0] for v in seen.values()], "ordinary": [v[1] for v in seen.values()]})
-
-    words = rows.where("not aside and text is not null").select("text", "toxic").mapInPandas(count, "w string, toxic long, ordinary long")
-    words = words.groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    ended = F.when(F.length("w") < p.depth, F.concat("w", F.lit("\n"))).otherwise(F.col("w"))
-    cut = words.select(ended.alias("w"), "toxic", "ordinary").select(F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("i"), "*")
-    cut = cut.select(F.substring("w", F.lit(1), F.col("i")).alias("h"), F.substring("w", F.col("i") + 1, F.lit(1)).alias("x"), "toxic", "ordinary")
-    nodes = materialise(cut.groupBy("h", "x").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "tox_nodes")
-    # Rare ones matter only as counts of their context: one row for each context keeps them.
-    known = nodes.where(F.col("toxic") + F.col("ordinary") >= p.least)
-    lone = nodes.where(F.col("toxic") + F.col("ordinary") < p.least).groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    known_h = known.select(F.concat("h", "x").alias("h")).unionAll(docs.sparkSession.createDataFrame([("",)], "h string"))
-    lone = lone.join(known_h, "h", "left_semi").select("h", F.lit("\0").alias("x"), "toxic", "ordinary")
-    counts = known.unionAll(lone).toArrow()  # bounded by the sample
-    if not counts.num_rows:
-        return Model(p, [""], np.zeros(1), np.zeros(1), prior)
-    model = Model(p, *fit_nodes(counts, p), prior)
-    del counts
+                w = words_of(text)
+                seen[toxic].update(zip(["", *w], w))
+            for toxic in (0, 1):
+                if seen[toxic]:
+                    u, w = zip(*seen[toxic])
+                    yield pd.DataFrame({"u": u, "w": w, "toxic": toxic})
+
+    # A word's count in a class: after how many different words it stands there.
+    follows = rows.where("not aside and text is not null").select("text", "toxic").mapInPandas(pairs, "u string, w string, toxic int")
+    follows = follows.select("w", F.xxhash64("u").alias("u"), "toxic").distinct()
+    words = materialise(follows.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("ordinary")), "tox_words")
+
+    # Letters by length of context, each length one task over the sample's words.
+    def letters(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        c = count_letters(pdf["w"].tolist(), pdf["toxic"].to_numpy() > 0, pdf["ordinary"].to_numpy() > 0, int(key[0]))
+        return pd.DataFrame([(key[0], *[c[x].to_numpy(k).tobytes() for x, k in _LETTERS.items()])], columns=["k", *_LETTERS])
+
+    lengths = F.explode(F.sequence(F.lit(0), F.lit(p.order))).alias("k")
+    got = words.select("*", lengths).groupBy("k").applyInPandas(letters, "k int, " + ", ".join(f"{x} binary" for x in _LETTERS))
+    model = Model(p, prior)
+    for r in sorted(got.collect(), key=lambda r: r["k"]):  # bounded by the sample
+        model.letters.learn(pd.DataFrame({x: np.frombuffer(r[x], dtype=k) for x, k in _LETTERS.items()}), p.discount)
+    del got
+    hashed = words.mapInPandas(_hash_words, "h long, toxic long, ordinary long").toArrow()
+    if not hashed.num_rows or not all(hashed[c].to_numpy().any() for c in ("toxic", "ordinary")):
+        return Model(p, prior)
+    h = hashed["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    model.known, model.counts = h[order], np.stack([hashed[c].to_numpy()[order] for c in ("toxic", "ordinary")], axis=1).astype(np.float32)
 
     stat = stats_of(rows.sparkSession, model)
-    aside = rows.where("aside").select("toxic", stat(F.col("text")).alias("s")).select("toxic", "s.*").toPandas()
+    aside = rows.where("aside").select("toxic", stat(F.col("text")).alias("s")).select("toxic", "s.*").where("not isnan(mean)").toPandas()
     y = aside["toxic"].to_numpy(np.float64)
     if 0 < y.sum() < len(y):
         model.centre, model.scale, model.weights = fit_link(aside[STATS].to_numpy(), y)
+        model.span = np.stack([aside[STATS].min(), aside[STATS].max()])
     return model
 
 
+_LETTERS = {"key": np.uint64, "context": np.uint64, "shorter": np.uint64, "toxic": np.int32, "ordinary": np.int32}
+
+
+def _hash_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"h": _hashes(pdf["w"].tolist()).view(np.int64), "toxic": pdf["toxic"], "ordinary": pdf["ordinary"]})
+
+
 def stats_of(spark, model: Model):
     shared = spark.sparkContext.broadcast(model)
 
@@ -255,8 +350,7 @@ def stats_of(spark, model: Model):
 
 def scorer(spark, model: Model):
     """A function Column -> score in [0, 1] of whole texts; null, empty and wordless texts
-    get what figures of zero give."""
-    small_batches(spark)
+    get the share of toxic labels."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
