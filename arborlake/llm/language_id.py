@@ -4,6 +4,13 @@ A whole text becomes a TF-IDF vector of hashed character 1- to 3-grams (letters
 everything else one blank), scaled to length 1.  Each language has several centroids from
 spherical k-means; a text goes to the language of the centroid with the largest cosine.
 
+A text too far from its language's centroids is rejected.  How far is too far depends on the
+language and on the text's length, as short texts share few n-grams with anything: the floor
+is ``slack`` of the least cosine of the language's sample among texts of like or greater
+length (by powers of two of their letters).  Lengths of which a language has fewer than
+``enough`` texts take the least over all languages, with the slack twice if these have not half as
+many, and those that no text of the sample has the floor of the next shorter length, or none.
+
 Document frequencies come from all training rows.  The clusters are fitted on a bounded
 sample: about ``sample`` rows for each language, those with the smallest id hashes.
 """
@@ -19,25 +26,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.batches import small_batches
-
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class LangId:
     """``dims``: hashed n-gram features (a power of 2).  ``clusters``: centroids a language.
-    ``sample``: rows a language that fit them; ``max_languages``: more labels are refused, as
-    the model is broadcast.  ``floor``: a text is rejected if its best cosine is below this
-    share of the least cosine seen in the sample (its 0.1 % quantile).  ``sharpness``: scale
-    of the cosines in the score."""
+    ``sample``: rows a language that fit them.  ``max_languages``: the model is broadcast, so
+    of more labels those with most rows are learned (ties by name), and texts of the others go
+    to the nearest of these or are rejected.  ``slack``, ``enough``: see above.
+    ``sharpness``: scale of the cosines in the score."""
 
     dims: int = 8192
     clusters: int = 3
     sample: int = 1200
     rounds: int = 8
     max_languages: int = 400
-    floor: float = 0.5
+    slack: float = 0.75
+    enough: int = 20
     sharpness: float = 30.0
 
 
@@ -57,6 +63,9 @@ def fold_table() -> np.ndarray:
     return _fold
 
 
+LENGTHS = 40  # classes of length: whole logs to base 2 of the number of letters
+
+
 def gram_counts(text: str, dims: int) -> np.ndarray | None:
     """Counts of the hashed 1- to 3-grams; None if the text has no letter."""
     c = fold_table()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
@@ -77,6 +86,12 @@ def gram_counts(text: str, dims: int) -> np.ndarray | None:
     return np.bincount(np.concatenate([one[c != 0] >> shift, two >> shift, three >> shift]), minlength=dims)
 
 
+def length_class(text: str) -> int:
+    """-1 without a letter."""
+    n = int(np.count_nonzero(fold_table()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]))
+    return min(n.bit_length(), LENGTHS) - 1
+
+
 def vectors(texts, dims: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit TF-IDF rows and which of them have a letter."""
     x = np.zeros((len(texts), dims), dtype=np.float32)
@@ -116,7 +131,7 @@ class Model:
     langs: list[str]
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))
-    floor: float = 0.0
+    floor: np.ndarray = field(default_factory=lambda: np.zeros((0, LENGTHS)))  # by language and length
 
     def predict(self, texts: list[str | None], step: int = 256) -> pd.DataFrame:
         out = []
@@ -133,21 +148,22 @@ class Model:
             top = best.argmax(axis=1)
             e = np.exp((best - best.max(axis=1, keepdims=True)) * self.params.sharpness)
             score, s = e.max(axis=1) / e.sum(axis=1), np.clip(best.max(axis=1), 0, 1)
+            size = np.array([length_class(t) if t else 0 for t in texts[i : i + step]])
             pred = np.array(self.langs, dtype=object)[top]
             pred[~ok] = UNDETERMINED
-            out.append(pd.DataFrame({"lang_pred": pred, "score": np.where(ok, score, 0.0), "similarity": np.where(ok, s, 0.0), "rejected": ~ok | (s < self.floor)}))
+            out.append(pd.DataFrame({"lang_pred": pred, "score": np.where(ok, score, 0.0), "similarity": np.where(ok, s, 0.0), "rejected": ~ok | (s < self.floor[top, size])}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": [], "similarity": [], "rejected": []})
 
 
 def fit(train: DataFrame, p: LangId = LangId()) -> Model:
     """Learn from (doc_id, text, lang) rows; rows without lang or letters are left out."""
     rows = train.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(p.max_languages + 1).collect()}
-    if len(sizes) > p.max_languages:
-        raise ValueError(f"more than {p.max_languages} languages; raise max_languages if executors can hold the model")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(p.max_languages + 1).collect()
+    sizes = {r["lang"]: r["n"] for r in found[: p.max_languages]}
+    if len(found) > p.max_languages:
+        rows = rows.where(F.col("lang").isin(*sizes))
     langs = sorted(sizes)
     dims = p.dims
-    small_batches(train.sparkSession)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(dims, dtype=np.int64), 0
@@ -175,16 +191,20 @@ def fit(train: DataFrame, p: LangId = LangId()) -> Model:
     sample = rows.where(unit < share[F.col("lang")]).select("lang", "text").distinct()  # repeated rows can't swell it
 
     def centroids(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ok = vectors(sorted(pdf["text"]), dims, idf)
-        x = x[ok]
+        texts = sorted(pdf["text"])
+        x, ok = vectors(texts, dims, idf)
+        x, size = x[ok], [length_class(t) for t, o in zip(texts, ok) if o]
         if not len(x):
-            return pd.DataFrame({"lang": [], "c": [], "n": [], "low": []})
+            return pd.DataFrame({"lang": [], "c": [], "n": [], "size": [], "near": []})
         c = cluster(x, p.clusters, p.rounds)
         s = x @ c.T
         n = np.bincount(s.argmax(axis=1), minlength=len(c))
-        return pd.DataFrame({"lang": key[0], "c": [v.astype(np.float32).tobytes() for v in c], "n": n, "low": float(np.quantile(s.max(axis=1), 0.001))})
+        out = pd.DataFrame({"lang": key[0], "c": [v.astype(np.float32).tobytes() for v in c], "n": n, "size": None, "near": None})
+        out.at[0, "size"], out.at[0, "near"] = size, s.max(axis=1).tolist()
+        return out
 
-    got = sample.groupBy("lang").applyInPandas(centroids, "lang string, c binary, n long, low double").collect()
+    got = sample.groupBy("lang").applyInPandas(centroids, "lang string, c binary, n long, size array<int>, near array<double>").collect()
+    texts = {r["lang"]: (np.array(r["size"]), np.array(r["near"])) for r in got if r["size"] is not None}  # ``sample`` a language
     got = sorted(got, key=lambda r: (r["lang"], -r["n"], r["c"]))
     langs = sorted({r["lang"] for r in got})
     if not langs:
@@ -198,13 +218,30 @@ def fit(train: DataFrame, p: LangId = LangId()) -> Model:
     sim = c @ centre.T
     total = np.array([n[owner == j].sum() for j in range(len(langs))])
     good = (sim.argmax(axis=1) == owner) | (n >= 0.3 * total[owner])
-    return Model(p, idf, langs, owner[good], c[good], p.floor * min(r["low"] for r in got))
+    return Model(p, idf, langs, owner[good], c[good], floors([texts[g] for g in langs], p))
+
+
+def floors(samples: list[tuple[np.ndarray, np.ndarray]], p: LangId) -> np.ndarray:
+    """Least cosines allowed by language and length class, from (length class, cosine) of each
+    language's sample."""
+    least = np.full((len(samples), LENGTHS), np.inf)
+    count = np.zeros((len(samples), LENGTHS), dtype=int)
+    for j, (size, near) in enumerate(samples):
+        np.minimum.at(least[j], size, near)
+        np.add.at(count[j], size, 1)
+    least = np.where(count < p.enough, least.min(axis=0), least)
+    least = np.minimum.accumulate(least[:, ::-1], axis=1)[:, ::-1]  # longer texts are no farther
+    some = count.sum(axis=0) > 0
+    first, out = int(np.argmax(some)), np.zeros_like(least)
+    for k in range(LENGTHS):
+        out[:, k] = least[:, k] if some[k] else (out[:, k - 1] if k > first else 0.0)
+    few = 2 * count.sum(axis=0) < p.enough  # over all languages: a least of few says little
+    return np.where(np.isfinite(out), out, 0.0) * np.where(few, p.slack**2, p.slack)
 
 
 def predictor(spark, model: Model):
     """A function Column -> struct<lang_pred, score, similarity, rejected> over whole texts.
     Null text or no letter: ``und``, score 0, rejected."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, similarity double, rejected boolean")
