@@ -7,14 +7,17 @@
 3. Candidates are not all pairs of a bucket.  Round 1 compares each member with the
    bucket's smallest node; links found unite nodes.  Buckets whose members are then still
    in several classes are compared with the member that shares most buckets (the likely
-   original), and what is left after that is compared pair by pair, but only across
-   classes, each pair in its first common bucket, in blocks of bounded size, over
-   signatures of 480 minima, which leave few pairs that are not links.
+   original).  Nodes that are left in open buckets get longer signatures (476 minima) and
+   new, narrower buckets (68 bands of 7: a pair at 0.8 shares none with probability 1e-7), so
+   that what shares a passage but little else is parted before pairs are compared.  There
+   pairs are compared one by one, but only across classes, each pair in its first common
+   bucket, in blocks of bounded size.
 4. Each candidate is verified in batches of 30 minima (after BayesLSH): with a uniform prior
    the posterior of the similarity after m of n matches is Beta(m + 1, n - m + 1); the pair
    is dropped as soon as the chance that the similarity reaches the threshold falls below
    ``miss``.  Survivors are decided on the full shingle sets.
-5. Connected components over the verified links.
+5. Connected components over the verified links; later rounds unite the classes of earlier
+   ones by their new links alone.
 
 A link between two nodes of one class is not looked for, since it can't change the classes.
 """
@@ -30,7 +33,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.batches import small_batches
 from arborlake.llm.textkit import MinHash, WordHash, set_key, shingle_set
 from arborlake.operators.graph import connected_components
 from arborlake.plans.stage import materialise
@@ -40,8 +42,8 @@ from arborlake.plans.stage import materialise
 class NearDup:
     """``percent``: least similarity in hundredths.  ``miss``: chance at which a candidate
     that may still be similar enough is given up.  ``batch``: minima compared at a time.
-    ``more``: minima compared at most for the pairs across classes that are left at the end.
-    ``block``: rows of a bucket that one comparison block holds.  ``broadcast_nodes``: up to
+    ``more_bands``, ``more_rows``: bands and minima for the nodes that are left at the end.
+    ``block``: rows of such a bucket that one comparison block holds.  ``broadcast_nodes``: up to
     so many candidate nodes (16-byte keys) are sent to all executors to filter the texts;
     beyond that, the texts are joined by shuffle."""
 
@@ -51,8 +53,9 @@ class NearDup:
     rows: int = 5
     miss: float = 1e-6
     batch: int = 30
-    more: int = 480
-    block: int = 2048
+    more_bands: int = 68
+    more_rows: int = 7
+    block: int = 1024
     broadcast_nodes: int = 400_000
 
 
@@ -110,10 +113,10 @@ def sketches(docs: DataFrame, p: NearDup) -> DataFrame:
 
 def _longer(p: NearDup):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, mh = WordHash(), MinHash(1, p.more, seed=2)
+        cache, mh = WordHash(), MinHash(p.more_bands, p.more_rows, seed=2)
         for pdf in batches:
-            sigs = [mh.minima(shingle_set(t, cache, p.shingle)).astype(np.uint16).tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"node": pdf["node"], "sig": sigs})
+            found = [mh.minima(shingle_set(t, cache, p.shingle)) for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "sig": [m.astype(np.uint16).tobytes() for m in found], "bands": [mh.band_keys(m) for m in found]})
 
     return run
 
@@ -153,12 +156,14 @@ def _exact(p: NearDup):
 def _cross_pairs(p: NearDup):
     """Rows of one (bucket, block pair) at a time, in order: pairs of different classes
     whose first common bucket this is and that the posterior does not rule out."""
-    least = least_matches(p, p.more)
+    k = p.more_bands * p.more_rows
+    k -= k % p.batch
+    least = least_matches(p, k)
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame | None:
         if len(g) < 2:
             return None
-        sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint16).reshape(len(g), -1)
+        sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint16).reshape(len(g), -1)[:, :k]
         bands = np.stack(g["bands"].to_numpy())
         comp, node, n = g["cls"].to_numpy(), g["node"].to_numpy(), g["n_shingles"].to_numpy()
         code = pd.factorize(pd.Series(comp))[0]
@@ -218,8 +223,8 @@ class _Linker:
         self.texts = texts
 
     def longer(self, nodes: DataFrame) -> DataFrame:
-        """(node, sig) with ``more`` minima."""
-        return materialise(self.texts.join(nodes, "node", "left_semi").mapInPandas(_longer(self.p), "node binary, sig binary"), "nd_longer")
+        """(node, sig, bands) of the longer signatures."""
+        return materialise(self.texts.join(nodes, "node", "left_semi").mapInPandas(_longer(self.p), "node binary, sig binary, bands array<long>"), "nd_longer")
 
     def verify(self, pairs: DataFrame, judged: bool = False) -> DataFrame:
         """pairs: distinct (a, b).  judged: the posterior test is already passed."""
@@ -245,7 +250,6 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
     if no member has an id, and then the rows of one text of the class are kept.  Empty
     table: empty result."""
     p = params
-    small_batches(docs.sparkSession)
     rows = materialise(sketches(docs, p), "nd_rows")
     nodes = rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least_id"),
@@ -255,11 +259,10 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
         F.first("bands").alias("bands"),
     )
     nodes = materialise(nodes.select("node", "least_id", "r.doc_id", "r.text_hash", "n_shingles", "sig", "bands"), "nd_nodes")
-    links = _links(docs, nodes, p)
-    if links is None:
+    cc = _classes(docs, nodes, p)
+    if cc is None:
         classes = nodes.select("node", F.col("least_id").alias("component_id"), F.lit(True).alias("first"))
     else:
-        cc = connected_components(links, "a", "b")
         own = nodes.select("node", "least_id").join(cc, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
         own = materialise(own, "nd_own")
         least = materialise(own.groupBy("component").agg(F.min("least_id").alias("component_id")), "nd_least")
@@ -283,8 +286,8 @@ def deduplicated(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
     return out
 
 
-def _links(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame | None:
-    """Verified links between nodes, enough to connect every class; None if no bucket is shared."""
+def _classes(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame | None:
+    """(node, component) of the nodes with a link; None if no bucket is shared."""
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("rep")).where("size > 1")
     # Aggregates by bucket are written before they are joined by bucket: a join that deals both
@@ -296,10 +299,10 @@ def _links(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame | None:
     linker = _Linker(docs, nodes, members, p)
 
     first = members.where("node <> rep").select(*_ordered(F.col("node"), F.col("rep"))).distinct()
-    links = materialise(linker.verify(first), "nd_links1")
-    open_ = _still_open(members.where("node <> rep").select("bucket", "node"), links)
+    classes = _united(None, materialise(linker.verify(first), "nd_links1"))
+    open_ = _still_open(members.where("node <> rep").select("bucket", "node"), classes)
     if open_.isEmpty():
-        return links
+        return classes
 
     # Round 2: the member that shares most open buckets with others is the likely original.
     size = materialise(open_.groupBy("bucket").agg(F.count("*").alias("size")), "nd_size")
@@ -308,28 +311,47 @@ def _links(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame | None:
     hub = weighed.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("rep"), F.max_by("cls", F.struct("weight", "node")).alias("rep_cls"))
     second = materialise(open_.join(materialise(hub, "nd_hub"), "bucket"), "nd_members2")
     pairs = second.where("node <> rep and cls <> rep_cls").select(*_ordered(F.col("node"), F.col("rep"))).distinct()
-    links = materialise(links.unionAll(linker.verify(pairs)), "nd_links2")
-    open_ = _still_open(second.where("node <> rep").select("bucket", "node"), links)
+    classes = _united(classes, materialise(linker.verify(pairs), "nd_links2"))
+    open_ = _still_open(second.where("node <> rep").select("bucket", "node"), classes)
     if open_.isEmpty():
-        return links
-
-    # The rest, whole: pairs across classes, by blocks of a bucket.
-    size = materialise(open_.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(p.block)).cast("int").alias("nb")), "nd_blocks")
-    rest = open_.join(size, "bucket").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+        return classes
+
+    # The rest, whole: narrower buckets, and in them pairs across classes, by blocks.
+    left = materialise(open_.groupBy("node").agg(F.first("cls").alias("cls")), "nd_left")
+    longer = linker.longer(left.select("node"))
+    narrow = materialise(longer.select("node", F.explode("bands").alias("bucket")).join(left, "node"), "nd_narrow")
+    size = narrow.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.ceil(F.count("*") / F.lit(p.block)).cast("int").alias("nb"))
+    size = materialise(size.where("lo <> hi").select("bucket", "nb"), "nd_blocks")
+    rest = narrow.join(size, "bucket").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rest = rest.select("bucket", "node", "cls", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-    longer = linker.longer(open_.select("node").distinct())
-    rest = rest.join(longer, "node").join(nodes.select("node", "n_shingles", "bands"), "node")
+    rest = rest.join(longer, "node").join(nodes.select("node", "n_shingles"), "node")
     dealt = rest.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "node")
     pairs = dealt.mapInPandas(_cross_pairs(p), "a binary, b binary").distinct()
-    return materialise(links.unionAll(linker.verify(materialise(pairs, "nd_pairs3"), judged=True)), "nd_links3")
-
-
-def _still_open(members: DataFrame, links: DataFrame) -> DataFrame:
+    return _united(classes, materialise(linker.verify(materialise(pairs, "nd_pairs3"), judged=True), "nd_links3"))
+
+
+def _united(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) of all linked nodes, from earlier classes and new links between
+    nodes: only classes that new links join are looked at again.  A class is named by its
+    least node."""
+    if classes is None:
+        return materialise(connected_components(links, "a", "b"), "nd_classes")
+    own = lambda c, name: classes.select(F.col("node").alias(c), F.col("component").alias(name))
+    e = links.join(own("a", "ca"), "a", "left").join(own("b", "cb"), "b", "left")
+    e = materialise(e.select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb").distinct(), "nd_joined")
+    if e.isEmpty():
+        return classes
+    cc = materialise(connected_components(e, "ca", "cb"), "nd_joint").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    known = classes.join(cc, classes["component"] == cc["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = cc.join(classes.select("node"), cc["old"] == classes["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return materialise(known.unionAll(fresh), "nd_classes")
+
+
+def _still_open(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Members (bucket, node, cls) of buckets that hold nodes of several classes."""
-    cc = connected_components(links, "a", "b")
-    own = members.join(cc, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("cls"))
-    own = materialise(own, "nd_classes")
+    own = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("cls"))
+    own = materialise(own, "nd_own_classes")
     mixed = own.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket")
     mixed = materialise(mixed, "nd_mixed")
     return materialise(own.join(mixed, "bucket", "left_semi"), "nd_open")
