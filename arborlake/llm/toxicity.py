@@ -95,7 +95,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def count_letters(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, k: int) -> pd.DataFrame:
+def count_letters(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, k: int) -> dict[str, np.ndarray]:
     """Letters after contexts of k letters, over distinct words: key, context, key after one
     letter less of context, and the number of words of each class."""
     codes, before, begin = _spell(words, k)
@@ -105,9 +105,9 @@ def count_letters(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, k:
     key, context, shorter = _gram(sums[-1][ok], codes[ok]), mix64(sums[-1][ok] + np.uint64(k)), _gram(sums[0][ok], codes[ok])
     (a, n), (b, m) = _runs(key[toxic[of]]), _runs(key[ordinary[of]])
     every, first = np.unique(key, return_index=True)
-    out = pd.DataFrame({"key": every, "context": context[first], "shorter": shorter[first], "toxic": 0, "ordinary": 0})
-    out.loc[np.searchsorted(every, a), "toxic"] = n
-    out.loc[np.searchsorted(every, b), "ordinary"] = m
+    out = {"key": every, "context": context[first], "shorter": shorter[first], "toxic": np.zeros(len(every), np.int32), "ordinary": np.zeros(len(every), np.int32)}
+    out["toxic"][np.searchsorted(every, a)] = n
+    out["ordinary"][np.searchsorted(every, b)] = m
     return out
 
 
@@ -120,20 +120,20 @@ class Letters:
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
-    def learn(self, counts: pd.DataFrame, d: float) -> None:
+    def learn(self, counts: dict[str, np.ndarray], d: float) -> None:
         """Add the next context length, from ``count_letters``."""
+        key = np.asarray(counts["key"])
         if not self.grams:
-            self.alphabet = len(counts) + 1  # one more for letters never seen
-        key = counts["key"].to_numpy(np.uint64)
-        c = counts[["toxic", "ordinary"]].to_numpy(np.float64)
-        c = np.c_[c, (c > 0).sum(axis=1)]  # shared: once for each class
-        context, at = np.unique(counts["context"].to_numpy(np.uint64), return_inverse=True)
+            self.alphabet = len(key) + 1  # one more for letters never seen
+        c = np.stack([counts["toxic"], counts["ordinary"]], axis=1).astype(np.float32)
+        c = np.c_[c, (c > 0).sum(axis=1, dtype=np.float32)]  # shared: once for each class
+        context, at = np.unique(counts["context"], return_inverse=True)
         total = np.stack([np.bincount(at, c[:, j], len(context)) for j in range(3)], axis=1)
         kept = np.stack([np.bincount(at, np.minimum(c[:, j], d), len(context)) for j in range(3)], axis=1)
         left = np.where(total > 0, kept / np.maximum(total, 1e-9), 1.0)
         if self.grams:
             keys, probs = self.grams[-1]
-            lower = probs[find(keys, counts["shorter"].to_numpy(np.uint64)), 2].astype(np.float64)
+            lower = probs[find(keys, np.asarray(counts["shorter"])), 2].astype(np.float64)
         else:
             lower = np.full(len(key), 1.0 / self.alphabet)
         own = np.where(total[at] > 0, np.maximum(c - d, 0) / np.maximum(total[at], 1e-9), 0.0)
@@ -305,14 +305,15 @@ def fit(docs: DataFrame, labels: DataFrame, p: Tox = Tox()) -> Model:
     # Letters by length of context, each length one task over the sample's words.
     def letters(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c = count_letters(pdf["w"].tolist(), pdf["toxic"].to_numpy() > 0, pdf["ordinary"].to_numpy() > 0, int(key[0]))
-        return pd.DataFrame([(key[0], *[c[x].to_numpy(k).tobytes() for x, k in _LETTERS.items()])], columns=["k", *_LETTERS])
+        return pd.DataFrame([(key[0], *[c[x].astype(t).tobytes() for x, t in _LETTERS.items()])], columns=["k", *_LETTERS])
 
     lengths = F.explode(F.sequence(F.lit(0), F.lit(p.order))).alias("k")
-    got = words.select("*", lengths).groupBy("k").applyInPandas(letters, "k int, " + ", ".join(f"{x} binary" for x in _LETTERS))
+    got = materialise(words.select("*", lengths).groupBy("k").applyInPandas(letters, "k int, " + ", ".join(f"{x} binary" for x in _LETTERS)), "tox_letters")
     model = Model(p, prior)
-    for r in sorted(got.collect(), key=lambda r: r["k"]):  # bounded by the sample
-        model.letters.learn(pd.DataFrame({x: np.frombuffer(r[x], dtype=k) for x, k in _LETTERS.items()}), p.discount)
-    del got
+    for k in range(p.order + 1):  # one length at a time; bounded by the sample
+        for r in got.where(F.col("k") == k).toLocalIterator():
+            model.letters.learn({x: np.frombuffer(r[x], dtype=t) for x, t in _LETTERS.items()}, p.discount)
+            del r
     hashed = words.mapInPandas(_hash_words, "h long, toxic long, ordinary long").toArrow()
     if not hashed.num_rows or not all(hashed[c].to_numpy().any() for c in ("toxic", "ordinary")):
         return Model(p, prior)
@@ -320,8 +321,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: Tox = Tox()) -> Model:
     order = np.argsort(h)
     model.known, model.counts = h[order], np.stack([hashed[c].to_numpy()[order] for c in ("toxic", "ordinary")], axis=1).astype(np.float32)
 
-    stat = stats_of(rows.sparkSession, model)
-    aside = rows.where("aside").select("toxic", stat(F.col("text")).alias("s")).select("toxic", "s.*").where("not isnan(mean)").toPandas()
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    aside = rows.where("aside").select("toxic", stats_of(shared)(F.col("text")).alias("s")).select("toxic", "s.*").where("not isnan(mean)").toPandas()
+    shared.destroy()
     y = aside["toxic"].to_numpy(np.float64)
     if 0 < y.sum() < len(y):
         model.centre, model.scale, model.weights = fit_link(aside[STATS].to_numpy(), y)
@@ -337,9 +339,7 @@ def _hash_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h": _hashes(pdf["w"].tolist()).view(np.int64), "toxic": pdf["toxic"], "ordinary": pdf["ordinary"]})
 
 
-def stats_of(spark, model: Model):
-    shared = spark.sparkContext.broadcast(model)
-
+def stats_of(shared):
     @F.pandas_udf(", ".join(f"{s} double" for s in STATS))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
