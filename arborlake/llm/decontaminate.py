@@ -8,6 +8,8 @@
    aligned with the item by words (match 1, mismatch and gap -``penalty``), unless even all
    words that passage and item share could not reach the least score, which prunes exactly.
 4. A copy is reported if the alignment scores ``share`` of the item's words, or ``run`` words.
+   An item of fewer than ``min_words`` words gives too little to align: it is found where all
+   its words stand in a row.
 
 Words are lower-cased and stripped of punctuation at their ends.  Items go through in blocks
 of at most ``block_words`` words, each broadcast; a larger benchmark takes more blocks, not a
@@ -24,7 +26,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.batches import small_batches
 
 EDGE = b".,;:!?\"'()[]{}<>*#~_-"
 
@@ -32,7 +33,7 @@ EDGE = b".,;:!?\"'()[]{}<>*#~_-"
 @dataclass(frozen=True)
 class Decon:
     """``share`` and ``run``: least alignment score as a share of the item's words, or in
-    words.  ``min_words``: shorter items are no evidence and match nothing.  ``slack``: words
+    words.  ``min_words``: shorter items are found by equality.  ``slack``: words
     on either side of the passage that an edited copy may have gained."""
 
     gram: int = 3
@@ -88,12 +89,21 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], p: Decon) -> None:
         self.p, self.ids, self.item_ids, self.words = p, {}, [], []
+        short = []
         for item, text in rows:
             tokens = [w for t in (text or "").encode("utf-8", "replace").lower().split() if (w := t.strip(EDGE))]
+            numbers = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in tokens], dtype=np.int64)
             if len(tokens) >= p.min_words:
                 self.item_ids.append(item)
-                self.words.append(np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in tokens], dtype=np.int64))
+                self.words.append(numbers)
+            elif tokens:
+                short.append((item, numbers))
         self.base = len(self.ids) + 2
+        #: (length of the key, key of an item's first words) -> short items
+        self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
+        for item, numbers in short:
+            n = min(len(numbers), p.gram)
+            self.short.setdefault(n, {}).setdefault(int(grams(numbers[:n], n, self.base)[1][0]), []).append((item, numbers))
         if self.base**p.gram >= 1 << 62:
             raise ValueError("too many distinct words in one block of items; lower block_words")
         own = [grams(w, p.gram, self.base)[1] for w in self.words]
@@ -146,15 +156,28 @@ class Items:
             for group in np.split(starts, np.flatnonzero(np.diff(starts) > len(words)) + 1):
                 lo = max(0, int(group[0]) - self.p.slack)
                 hi = min(len(ids), int(group[-1]) + len(words) + self.p.slack)
-                score = self.align(words, ids[lo:hi])
-                if score is not None and (best is None or score > best[0]):
-                    best = (score, lo, hi)
+                found = self.align(words, ids[lo:hi])
+                if found is not None and (best is None or found[0] > best[0]):
+                    best = (found[0], lo + found[1], lo + found[2])
             if best:
                 out.append((self.item_ids[item], float(best[0]), float(best[0] / len(words)), best[1], best[2], len(by_item[item])))
-        return out
-
-    def align(self, item: np.ndarray, passage: np.ndarray) -> float | None:
-        """Local alignment score if it is enough, else None."""
+        return out + self.equal(ids)
+
+    def equal(self, ids: np.ndarray) -> list[tuple]:
+        """Short items that stand in the text whole, at their first place."""
+        out = {}
+        for n, table in self.short.items():
+            at, key = grams(ids, n, self.base)
+            hit = np.flatnonzero(np.isin(key, np.fromiter(table, dtype=np.int64, count=len(table))))
+            for pos, k in zip(at[hit].tolist(), key[hit].tolist()):
+                for item, words in table[k]:
+                    if item not in out and np.array_equal(ids[pos : pos + len(words)], words):
+                        out[item] = (item, float(len(words)), 1.0, pos, pos + len(words), 1)
+        return [out[i] for i in sorted(out)]
+
+    def align(self, item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int] | None:
+        """Local alignment score, if it is enough, with the aligned words of the passage: the
+        first one and the one behind the last; else None."""
         p = self.p
         enough = min(p.share * len(item), p.run)
         (iw, ic), (pw, pc) = np.unique(item, return_counts=True), np.unique(passage, return_counts=True)
@@ -162,14 +185,26 @@ class Items:
         shared = int(np.minimum(ic[i], pc[j]).sum())  # no alignment matches more words
         if shared < enough:
             return None
-        gap = p.penalty * np.arange(len(passage) + 1)
-        row, best = np.zeros(len(passage) + 1), 0.0
-        for w in item.tolist():
-            new = np.maximum(row[:-1] + np.where(passage == w, 1.0, -p.penalty), row[1:] - p.penalty)
+        best, i, end = self._local(item, passage)
+        if best < enough - 1e-9:
+            return None
+        # Backwards from the end of the best alignment its score is reached at its beginning.
+        _, _, back = self._local(item[:i][::-1], passage[:end][::-1])
+        return best, end - back, end
+
+    def _local(self, item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
+        """Best score of a local alignment, and how many words of item and passage lie before
+        its end (the first such end)."""
+        gap = self.p.penalty * np.arange(len(passage) + 1)
+        row, best = np.zeros(len(passage) + 1), (0.0, 0, 0)
+        for i, w in enumerate(item.tolist(), 1):
+            new = np.maximum(row[:-1] + np.where(passage == w, 1.0, -self.p.penalty), row[1:] - self.p.penalty)
             new = np.maximum(np.concatenate([[0.0], new]), 0.0)
             row = np.maximum.accumulate(new + gap) - gap  # gaps in the passage
-            best = max(best, float(row.max()))
-        return best if best >= enough - 1e-9 else None
+            j = int(row.argmax())
+            if row[j] > best[0] + 1e-9:
+                best = (float(row[j]), i, j)
+        return best
 
 
 _HITS = "array<struct<item_id:long,score:double,share:double,first_word:int,last_word:int,n_seeds:int>>"
@@ -190,7 +225,6 @@ def blocks(benchmark: DataFrame, p: Decon) -> Iterator[list[tuple[int, str]]]:
 def prepared(docs: DataFrame, benchmark: DataFrame, p: Decon = Decon()) -> list[Items]:
     """Items with seeds chosen by their n-grams' counts over all documents."""
     spark, out = docs.sparkSession, []
-    small_batches(spark)
     for rows in blocks(benchmark, p):
         items = Items(rows, p)
         shared = spark.sparkContext.broadcast(items)
@@ -227,7 +261,8 @@ def hits_column(spark, items: Items):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Decon = Decon()) -> DataFrame:
     """One row for each document row and test item found in it: doc_id, item_id, score
-    (words), share (of the item), first_word, last_word (the aligned passage), n_seeds.
+    (words), share (of the item), first_word and last_word (the aligned words: number of the
+    first one, and of the one behind the last, among words with more than signs), n_seeds.
 
     Null or empty texts match nothing; repeated documents give repeated rows, repeated items
     count once; an empty benchmark gives no rows."""

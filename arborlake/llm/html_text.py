@@ -27,7 +27,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.batches import small_batches
 
 # HTML's element names by their role, and words that sites use in class and id.
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp")
@@ -353,8 +352,6 @@ def extract(pages: DataFrame, p: HtmlText = HtmlText()) -> DataFrame:
     """page_id, url, text, n_chars for every row of (page_id, url, html), repeated rows
     included.  Null or empty html: empty text, 0.  Whole pages are read."""
 
-    small_batches(pages.sparkSession)
-
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:

@@ -22,7 +22,6 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.batches import small_batches
 
 END = 256
 #: Runs of letters, single digits, runs of other characters; white space separates.
@@ -145,7 +144,6 @@ def token_count_column(spark: SparkSession, p: TokenCount):
 
     if os.path.getsize(p.vocab) > p.max_vocab_bytes:
         raise ValueError(f"{p.vocab} is larger than {p.max_vocab_bytes} bytes; raise max_vocab_bytes if executors can hold it")
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(Automaton(load_pieces(p.vocab)))
 
     @F.pandas_udf("n_words long, n_tokens long")
