@@ -265,7 +265,7 @@ def _ends(spark: SparkSession, d: str) -> DataFrame:
 def _basis(spark: SparkSession, d: str) -> DataFrame:
     u, v = G.basis(["ax", "ay", "az"])
     a: list[Column | str] = ["ax", "ay", "az"]
-    return lens.cylinders(spark, d).select("cyl_id", F.round(G.dot(u, a), 9).alias("ua"), F.round(G.dot(v, a), 9).alias("va"), F.round(G.dot(u, v), 9).alias("uv"), F.round(G.norm(*u), 9).alias("u_len"))
+    return lens.cylinders(spark, d).select("cyl_id", (F.round(G.dot(u, a), 9) + 0.0).alias("ua"), (F.round(G.dot(v, a), 9) + 0.0).alias("va"), (F.round(G.dot(u, v), 9) + 0.0).alias("uv"), F.round(G.norm(*u), 9).alias("u_len"))
 
 
 @query("axis_angles", " SELECT cyl_id, round(acos(least(abs(az / greatest(sqrt(ax*ax+ay*ay+az*az), 1e-9)), 1.0)), 6) AS lean, round(CASE WHEN abs((radius - 0.06) / (0.01 * 6)) < 1 THEN pow(1 - ((radius - 0.06) / (0.01 * 6)) * ((radius - 0.06) / (0.01 * 6)), 2) ELSE 0 END, 6) AS weight, round(abs((sx - 25) * ax + (sy - 25) * ay + (sz - 25) * az), 6) AS plane_residual FROM cylinders")
@@ -433,7 +433,8 @@ def _subsample(spark: SparkSession, d: str) -> DataFrame:
 
 @query("random_cap", None)
 def _cap(spark: SparkSession, d: str) -> DataFrame:
-    return tiling.hash_sample(lens.points(spark, d), ["order_key", "line_no", "x", "y", "z"], 200)
+    whole = lambda c, k: F.bround(F.col(c) * k).cast("long")
+    return tiling.hash_sample(lens.points(spark, d), [F.col("order_key"), F.col("line_no"), whole("x", 100), whole("y", 1e6), whole("z", 50)], 200)
 
 
 @query("safe_names", r"SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(p_name || ' (v.' || p_size || ')', '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'run') AS stem FROM part")
@@ -750,7 +751,7 @@ def _shapes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("skeleton_edges", None)
 def _skeleton(spark: SparkSession, d: str) -> DataFrame:
-    return wood_paths.skeleton(_vectors(spark, d), "id", 6, 0.25, 3)
+    return r6(wood_paths.skeleton(_vectors(spark, d), "id", 6, 0.25, 3))
 
 
 # --- exports and small filters -----------------------------------------------------------
@@ -768,9 +769,9 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     return _stats(tiling.grid_denoise(lens.points(spark, d), 4.0, 3), "segment_label")
 
 
-@query("two_nearest_bases", f"WITH {_E}, n AS (SELECT a.id AS ida, b.id AS idb, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id)::INTEGER AS rank FROM v a, v b WHERE a.label >= 5 AND b.id % 9 = 0 AND a.id <> b.id) SELECT * FROM n WHERE rank <= 2")
+@query("two_nearest_bases", f"WITH {_E}, n AS (SELECT a.id AS ida, b.id AS idb, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id)::INTEGER AS rank FROM v a, v b WHERE a.id <> b.id) SELECT * FROM n WHERE rank <= 2")
 def _two(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.knn(_vectors(spark, d, "a").where("labela >= 5"), _vectors(spark, d, "b").where("idb % 9 = 0"), 2, _XA, _XB, "ida", "idb", 0.5).select("ida", "idb", "rank")
+    return spatial.knn(_vectors(spark, d, "a"), _vectors(spark, d, "b"), 2, _XA, _XB, "ida", "idb", 0.5).select("ida", "idb", "rank")
 
 
 @query("matched_fields", " SELECT 1::BIGINT AS n_fields, count(*) AS n FROM points WHERE segment_label < 0")
@@ -788,3 +789,8 @@ def _json(spark: SparkSession, d: str) -> DataFrame:
 @query("principal_axes", None)
 def _axes(spark: SparkSession, d: str) -> DataFrame:
     return r6(fits.principal_axes(fits.covariance(lens.points(spark, d), ["cover_set"]), ["cover_set"]))
+
+
+from arborlake import catalog_more  # noqa: E402  registers its queries
+
+ORACLE_SQL |= {n: sql if sql.startswith(("SELECT", "WITH")) else f"WITH RECURSIVE {lens.SQL.strip()}{sql}" for n, sql in catalog_more.MORE_SQL.items()}

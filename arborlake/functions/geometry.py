@@ -127,6 +127,32 @@ def rescale(v: Num, lo: Num, hi: Num, top: float = 65535.0) -> Column:
     return F.when(_c(hi) == _c(lo), F.lit(0.0)).otherwise((_c(v) - _c(lo)) / (_c(hi) - _c(lo)) * top)
 
 
+def scale_intensity(v: Num, factor: float = 1.0) -> Column:
+    """Intensity of 16 bits to [0, factor]."""
+    return _c(v) / 65535.0 * factor
+
+
+def to_metres(side: Num, units_per_metre: float) -> Column:
+    """A length given in units of which ``units_per_metre`` make a metre."""
+    return _c(side) / units_per_metre
+
+
+def finite_or_zero(v: Num) -> Column:
+    """The whole part of a number; 0 for null, NaN and infinities."""
+    x = _c(v).cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))).otherwise(F.lit(0)).cast("long")
+
+
+def half_even(v: Num, digits: int = 0) -> Column:
+    """Rounded to so many digits, ties to the even one."""
+    return F.bround(_c(v), digits)
+
+
+def time_suffix(t: Num) -> Column:
+    """The mark behind the name of a run that is taken: yyyyMMdd_HHmmss."""
+    return F.date_format(_c(t), "yyyyMMdd_HHmmss")
+
+
 def utm(lon: Num, lat: Num, epsg: int) -> list[Column]:
     """Easting and northing by the Krueger series to the third order, for EPSG 326xx (north)
     and 327xx (south) on WGS 84."""

@@ -148,31 +148,79 @@ def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
     )
 
 
-#: The named criteria for choosing among several models of one tree, by family: a criterion
-#: is the sum of its family's figure over the parts named.
-MODEL_PARTS = ["all", "trunk", "branch", "branch1", "branch2"]
+def thickness_split(cyl: DataFrame, most: float = 0.1) -> DataFrame:
+    """Column thick: radius above ``most``.  Cylinders whose axis has no direction are left out."""
+    return cyl.where(norm("ax", "ay", "az") > 1e-9).withColumn("thick", F.col("radius") > most)
+
+
+def without_wide(cyl: DataFrame, limit: float = 0.15) -> DataFrame:
+    """Fitted cylinders thinner than ``limit`` (radius in metres); wider ones are bad fits."""
+    return cyl.where(F.col("radius") < limit)
+
+
+def status_counts(pts: DataFrame, cyl: DataFrame) -> DataFrame:
+    """One row: points, labelled points, segments, cylinders and trees of a run."""
+    p = pts.agg(F.count("*").alias("n_points"), F.count_if(F.col("segment_label") >= 0).alias("n_labelled"), F.count_distinct(F.when(F.col("segment_label") >= 0, F.col("segment_label"))).alias("n_segments"))
+    c = cyl.agg(F.count("*").alias("n_cylinders"), F.count_distinct("tree_id").alias("n_trees"))
+    return p.crossJoin(F.broadcast(c))  # one row each
+
+
+def tile_results(tiles: DataFrame, results: DataFrame, tile: str = "tile") -> DataFrame:
+    """Every tile with what its results say, and whether it has any."""
+    has = results.withColumn("has_results", F.lit(True))
+    return tiles.join(has, tile, "left").withColumn("has_results", F.coalesce("has_results", F.lit(False)))
+
+
+def _criteria() -> dict[str, str]:
+    """The 91 criteria by name, as SQL over one model's figures.
+
+    A part's figure is an aggregate over its cylinders; a name that joins parts by + is the
+    sum of theirs.  Coverage is taken as 1 - coverage, so that smaller is always better."""
+    part = {"all": "true", "trunk": "branch_order = 0", "branch": "branch_order > 0", "1branch": "branch_order = 1", "2branch": "branch_order = 2"}
+    joined = [*part, "trunk+branch", "trunk+1branch", "trunk+1branch+2branch", "1branch+2branch"]
+    size = {"vol": "pi() * radius * radius * length", "are": "2 * pi() * radius * length", "len": "length"}
+    over = lambda f, name: "(" + " + ".join(f.format(part[x]) for x in name.split("+")) + ")"
+    mean, most = "avg(mad) FILTER (WHERE {0})", "max(mad) FILTER (WHERE {0})"
+    out = {f"{n}_mean_dis": over(mean, n) for n in joined}
+    out |= {f"{n}_max_dis": over(most, n) for n in joined}
+    out |= {f"{n}_mean+max_dis": f"({over(mean, n)} + {over(most, n)})" for n in joined}
+    for k, e in size.items():
+        f = f"stddev_samp({e}) FILTER (WHERE {{0}})"
+        out |= {f"{n}_{k}_std": over(f, "all" if n == "tot" else n) for n in (["tot"] if k != "len" else []) + ["trunk", "branch", "trunk+branch"]}
+    out["branch_num_std"] = "stddev_samp(num) FILTER (WHERE o > 0)"
+    for o in (3, 6):
+        for g in ("mean", "max"):
+            out |= {f"branch_{k}_ord{o}_{g}": f"{'avg' if g == 'mean' else 'max'}({k}) FILTER (WHERE o BETWEEN 1 AND {o})" for k in ("vol", "are", "len", "num")}
+    for d in (10, 20):
+        for g in ("mean", "max"):
+            out |= {f"cyl_{k}_dia{d}_{g}": f"{'avg' if g == 'mean' else 'max'}({e}) FILTER (WHERE radius * 200 <= {d})" for k, e in size.items()}
+    for g in ("mean", "max"):
+        out |= {f"cyl_{k}_zen_{g}": f"{'avg' if g == 'mean' else 'max'}({k}) FILTER (WHERE z >= 0)" for k in size}
+    for g in ("mean", "min"):
+        f = f"(1 - {'avg' if g == 'mean' else 'min'}(surf_cov) FILTER (WHERE {{0}}))"
+        out |= {f"{n}_{g}_surf": over(f, n) for n in joined}
+    return out
+
+
+CRITERIA = _criteria()
+_BY_ORDER = [n for n in CRITERIA if "_ord" in n or n == "branch_num_std"]
+_BY_ZENITH = [n for n in CRITERIA if "_zen_" in n]
+_BY_CYLINDER = [n for n in CRITERIA if n not in _BY_ORDER and n not in _BY_ZENITH]
 
 
 def model_criteria(cyl: DataFrame, model: str = "model_id") -> DataFrame:
-    """Long table (model, criterion, value): for each part of the model the mean, the largest
-    and the sum of both of the distances to its surface (column mad), the mean surface
-    coverage (surf_cov), the spread of diameters and volume, and counts by order, diameter
-    class and zenith class.  Smaller is better; coverage is taken as 1 - coverage."""
-    order = F.col("branch_order")
-    part = {"all": F.lit(True), "trunk": order == 0, "branch": order > 0, "branch1": order == 1, "branch2": order == 2}
-    aggs = []
-    for name, cond in part.items():
-        mad, cov = F.when(cond, F.col("mad")), F.when(cond, F.col("surf_cov"))
-        aggs += [F.avg(mad).alias(f"{name}_mean_dis"), F.max(mad).alias(f"{name}_max_dis"), (F.avg(mad) + F.max(mad)).alias(f"{name}_mean_max_dis"), (1 - F.avg(cov)).alias(f"{name}_mean_surf"), (1 - F.min(cov)).alias(f"{name}_min_surf"), F.stddev_samp(F.when(cond, F.col("radius"))).alias(f"{name}_std_radius")]
-    for o in range(4):
-        aggs.append(F.sum(F.when(order == o, F.col("length")).otherwise(0.0)).alias(f"order{o}_length"))
-    for i, c in enumerate(DIAMETER_CLASSES):
-        aggs.append(F.sum(F.when(diameter_class("radius") == i, F.col("length")).otherwise(0.0)).alias(f"dia_{c}_length"))
-    for i in range(3):
-        aggs.append(F.sum(F.when((zenith("az") >= 30 * i) & (zenith("az") < 30 * (i + 1)), F.col("length")).otherwise(0.0)).alias(f"zen{i}_length"))
-    wide = cyl.groupBy(model).agg(*aggs)
-    names = [c for c in wide.columns if c != model]
-    return wide.unpivot([model], names, "criterion", "value")
+    """Long table (model, criterion, value) of the 91 criteria for choosing among several
+    models of one tree: distances to the surface (column mad), surface coverage (surf_cov),
+    spread of volumes, areas and lengths, totals by branch order, cylinders by diameter, and
+    totals by ten-degree classes of the zenith.  A criterion over nothing is null."""
+    totals = [F.sum(cylinder_volume("radius", "length")).alias("vol"), F.sum(F.expr("2 * pi() * radius * length")).alias("are"), F.sum("length").alias("len"), F.count("*").alias("num")]
+    pick = lambda names: [F.expr(CRITERIA[n]).alias(n) for n in names]
+    wide = cyl.groupBy(model).agg(*pick(_BY_CYLINDER))
+    orders = cyl.groupBy(model, F.col("branch_order").alias("o")).agg(*totals).groupBy(model).agg(*pick(_BY_ORDER))
+    zenith_class = F.floor(zenith("az") / 10).cast("int")
+    zeniths = cyl.groupBy(model, zenith_class.alias("z")).agg(*totals).groupBy(model).agg(*pick(_BY_ZENITH))
+    wide = wide.join(orders, model).join(zeniths, model)
+    return wide.unpivot([model], [F.col(f"`{n}`") for n in CRITERIA], "criterion", "value")
 
 
 def best_models(criteria: DataFrame, model: str = "model_id") -> DataFrame:

@@ -21,8 +21,9 @@ def _touched(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(cell(lo, size), cell(hi, size))
 
 
-def box_join(boxes: DataFrame, pts: DataFrame, size: float, lo: list[str], hi: list[str], xyz: list[str], how: str = "inner") -> DataFrame:
-    """Points inside closed boxes.  ``size``: edge of a cell, about that of the largest box.
+def box_join(boxes: DataFrame, pts: DataFrame, size: float, lo: list[str], hi: list[str], xyz: list[str], how: str = "inner", closed: bool = True) -> DataFrame:
+    """Points inside closed boxes, or inside open ones, whose faces do not belong to them.
+    ``size``: edge of a cell, about that of the largest box.
     Columns of both sides must differ; a box that ends before it begins holds nothing."""
     b = boxes.where(" AND ".join(f"{a} <= {z}" for a, z in zip(lo, hi)))
     keys = [f"_c{i}" for i in range(len(xyz))]
@@ -32,7 +33,8 @@ def box_join(boxes: DataFrame, pts: DataFrame, size: float, lo: list[str], hi: l
     for k, x in zip(keys, xyz):
         p = p.withColumn(f"{k}p", cell(F.col(x), size))
     on = [b[k] == p[f"{k}p"] for k in keys]
-    on += [F.col(x).cast("double").between(F.col(a), F.col(z)) for x, a, z in zip(xyz, lo, hi)]
+    inside = lambda v, a, z: v.between(a, z) if closed else (v > a) & (v < z)
+    on += [inside(F.col(x).cast("double"), F.col(a), F.col(z)) for x, a, z in zip(xyz, lo, hi)]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c

@@ -61,6 +61,11 @@ def subtract(pts: DataFrame, ter: DataFrame, cell: float) -> DataFrame:
     return j.withColumn("z_raw", F.col("z")).withColumn("z", F.col("z") - F.coalesce("_t", F.lit(0.0))).drop("_t", "ix", "iy")
 
 
+def restore(pts: DataFrame) -> DataFrame:
+    """Heights as they were before the terrain was taken off."""
+    return pts.withColumn("z", F.col("z_raw"))
+
+
 def above_ground(pts: DataFrame, ground: DataFrame, offset: float = 0.2, size: float = 0.5) -> DataFrame:
     """Points strictly more than offset above their cell's (or the nearest cell's) ground."""
     level = fill_nearest(ground_level(ground, size), pts.select(*grid_cell(size)).distinct())

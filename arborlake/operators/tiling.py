@@ -93,9 +93,26 @@ def stride_sample(df: DataFrame, row_no: str, most: int) -> DataFrame:
     return df.crossJoin(n).where(F.pmod(F.col(row_no), F.col("_step")) == 0).drop("_step")
 
 
-def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, the same ones in every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+def hash_sample(df: DataFrame, key: list[Column], n: int, seed: str = "sample") -> DataFrame:
+    """n rows without replacement, the same ones in every run: those with the least digests of
+    their key, which should tell all rows apart."""
+    text = F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in key])
+    return df.orderBy(F.md5(text.cast("binary")), *key).limit(n)
+
+
+def enough_points(pts: DataFrame, keys: list[str], least: int = 25) -> DataFrame:
+    """Points of groups (tiles) that hold at least ``least`` of them."""
+    full = pts.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    return pts.join(full, keys, "left_semi")
+
+
+def positional_join(a: DataFrame, b: DataFrame, a_order: list[Column], b_order: list[Column]) -> DataFrame:
+    """Row by row, each side in its order; columns of both must differ.  Sides of different
+    length have no rows in common: an error."""
+    x, y = running_totals(a, a_order, row_no="_ra"), running_totals(b, b_order, row_no="_rb")
+    if x.count() != y.count():
+        raise ValueError("the tables differ in length, so rows do not belong together")
+    return x.join(y, x["_ra"] == y["_rb"]).drop("_ra", "_rb")
 
 
 def first_per_voxel(pts: DataFrame, size: float, order: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@ next one starts, so a stopped run resumes behind the last stage that was finishe
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -78,11 +79,15 @@ LITE: list[tuple[str, Stage]] = [
 
 def run_pipeline(spark: SparkSession, points: DataFrame, out_dir: str, config: PlotConfig | None = None, mode: str = "full") -> tuple[DataFrame, DataFrame]:
     """points (point_id, x, y, z, intensity) -> labelled points and cylinders, both written
-    under out_dir.  Stages that are already there are read instead of run."""
+    under out_dir.  Stages that are already there are read instead of run; their names hold a
+    digest of the configuration, the mode and the input's files and columns, so that nothing of
+    another run is taken."""
     c = config or PlotConfig()
     p = points
+    of = repr((c, mode, sorted(points.inputFiles()), points.dtypes))
+    digest = hashlib.md5(of.encode()).hexdigest()[:8]
     for i, (name, stage) in enumerate(FULL if mode == "full" else LITE):
-        path = os.path.join(out_dir, f"{i:02d}_{name}")
+        path = os.path.join(out_dir, f"{i:02d}_{name}_{digest}")
         try:
             p = spark.read.parquet(path)
         except AnalysisException:
@@ -90,7 +95,7 @@ def run_pipeline(spark: SparkSession, points: DataFrame, out_dir: str, config: P
             p = spark.read.parquet(path)
     if p.isEmpty():
         raise tiling.EmptyCloudError("no point is left; lower the intensity threshold or the ground offset")
-    path = os.path.join(out_dir, "cylinders")
+    path = os.path.join(out_dir, f"cylinders_{digest}")
     try:
         return p, spark.read.parquet(path)
     except AnalysisException:

@@ -31,7 +31,12 @@ def find_runs(spark: SparkSession, root: str) -> DataFrame:
     metadata."""
     f = spark.read.format("binaryFile").load(os.path.join(root, "*", "metadata.json"))
     j = f.select(F.col("path"), F.col("modificationTime").alias("modified"), F.from_json(F.col("content").cast("string"), METADATA, {"mode": "PERMISSIVE"}).alias("m"))
-    return j.select("path", "modified", "m.*").orderBy(F.col("modified").desc(), "path")
+    return newest_first(j.select("path", "modified", "m.*"), "modified", "path")
+
+
+def newest_first(runs: DataFrame, time: str, name: str) -> DataFrame:
+    """Latest first; of equal times the smaller name."""
+    return runs.orderBy(F.col(time).desc_nulls_last(), name)
 
 
 def read_cylinders(spark: SparkSession, path: str) -> DataFrame:
@@ -134,6 +139,31 @@ def read_observations(spark: SparkSession, path: str, default_h: float = 2.0) ->
     return parse_observations(raw.withColumn("row_no", F.monotonically_increasing_id()), default_h)
 
 
+def read_tree_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_tree_metrics`` wrote, with numbers as numbers; a missing table has no rows."""
+    from pyspark.errors import AnalysisException
+
+    kinds = {"tree_id": "long", "tile": "string", "n_cylinders": "long", "max_branch_order": "int", "n_branch_orders": "long"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in TREE_METRICS)
+    try:
+        return spark.read.option("header", True).schema(schema).csv(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def write_tiles(df: DataFrame, path: str, tile: str = "tile") -> None:
+    """One folder for each tile, so that a tile's table is read or replaced alone."""
+    df.write.mode("overwrite").partitionBy(tile).parquet(path)
+
+
+def combine_cylinders(parts: list[DataFrame], path: str) -> None:
+    """The cylinders of all tiles in one text table."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    write_cylinders(out, path)
+
+
 def write_tree_metrics(trees: DataFrame, path: str) -> None:
     """CSV of the fixed columns; missing ones stay blank, others are left out."""
     cols = [F.col(c) if c in trees.columns else F.lit(None).cast("string").alias(c) for c in TREE_METRICS]
