@@ -25,6 +25,7 @@ with the smallest id hashes.  Scores cover every row and whole texts.
 
 from __future__ import annotations
 
+import collections
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -99,7 +100,7 @@ def count_letters(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, k:
     """Letters after contexts of k letters, over distinct words: key, context, key after one
     letter less of context, and the number of words of each class."""
     codes, before, begin = _spell(words, k)
-    sums = list(_context_sums(codes, k))[-2:]
+    sums = collections.deque(_context_sums(codes, k), maxlen=2)
     ok = (before >= k) & (codes != _START)
     of = np.repeat(np.arange(len(words)), np.diff(np.append(begin, len(codes))))[ok]
     key, context, shorter = _gram(sums[-1][ok], codes[ok]), mix64(sums[-1][ok] + np.uint64(k)), _gram(sums[0][ok], codes[ok])
@@ -302,16 +303,15 @@ def fit(docs: DataFrame, labels: DataFrame, p: Tox = Tox()) -> Model:
     follows = follows.select("w", F.xxhash64("u").alias("u"), "toxic").distinct()
     words = materialise(follows.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("ordinary")), "tox_words")
 
-    # Letters by length of context, each length one task over the sample's words.
+    # Letters by length of context: one task at a time over the sample's words.
     def letters(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c = count_letters(pdf["w"].tolist(), pdf["toxic"].to_numpy() > 0, pdf["ordinary"].to_numpy() > 0, int(key[0]))
         return pd.DataFrame([(key[0], *[c[x].astype(t).tobytes() for x, t in _LETTERS.items()])], columns=["k", *_LETTERS])
 
-    lengths = F.explode(F.sequence(F.lit(0), F.lit(p.order))).alias("k")
-    got = materialise(words.select("*", lengths).groupBy("k").applyInPandas(letters, "k int, " + ", ".join(f"{x} binary" for x in _LETTERS)), "tox_letters")
     model = Model(p, prior)
-    for k in range(p.order + 1):  # one length at a time; bounded by the sample
-        for r in got.where(F.col("k") == k).toLocalIterator():
+    for k in range(p.order + 1):
+        got = words.groupBy(F.lit(k).alias("k")).applyInPandas(letters, "k int, " + ", ".join(f"{x} binary" for x in _LETTERS))
+        for r in got.toLocalIterator():  # one row, bounded by the sample
             model.letters.learn({x: np.frombuffer(r[x], dtype=t) for x, t in _LETTERS.items()}, p.discount)
             del r
     hashed = words.mapInPandas(_hash_words, "h long, toxic long, ordinary long").toArrow()
