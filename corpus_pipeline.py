@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept, reread from
 Parquet, and returns the documents it keeps with their columns; the last one returns the mix,
 in which a document stands as often as it is taken.
+
+In every stage an empty table gives an empty table, columns besides doc_id, text, lang and
+source are carried along whatever their names, and rows with a null id are judged by their text
+like others; what each does with null texts and repeated rows stands below.
 """
 
 from __future__ import annotations
@@ -15,29 +19,36 @@ from arborlake.plans.stage import materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or too far from every known language, go."""
+    """Documents without a letter (null texts among them), or too far from every known language,
+    go.  Repeated rows are judged alike; a null lang teaches nothing."""
     model = language_id.fit(docs)
     return docs.where(~language_id.predictor(spark, model)(F.col("text").cast("string"))["rejected"])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go.  A null or wordless text has the share of toxic labels as
+    its score; repeated rows are judged alike; a document with several labels is toxic if one
+    says so."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.scorer(spark, model)(F.col("text").cast("string")) < model.params.threshold)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, of repeated rows one; null and
+    wordless texts are duplicates of nothing."""
     return near_dedup.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a test item go."""
+    """Documents that hold a copy of a test item go; null texts hold none; repeated rows are
+    judged alike."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out by their source's target weight."""
+    """Documents are repeated or left out by their source's target weight; a null source is a
+    source of its own; a null text has no words, so it does not count; repeated rows are taken
+    equally often."""
     return mixing.mixed_documents(docs)
 
 
