@@ -60,7 +60,7 @@ class Tox:
     strong: float = 2.0
     most: float = 8.0
     threshold: float = 0.3
-    remember: int = 4_000_000
+    remember: int = 2_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -216,13 +216,14 @@ class Model:
         p = np.log(np.maximum(self.probs(words), 1e-300))
         return np.clip(p[:, 0] - p[:, 1], -self.params.most, self.params.most)
 
-    def stats(self, texts, step: int = 50_000) -> np.ndarray:
+    def stats(self, texts, step: int = 25_000) -> np.ndarray:
         """STATS of each text; the ratios of new words are found for many texts at once."""
         p, out, i = self.params, np.full((len(texts), len(STATS)), np.nan), 0
         while i < len(texts):
-            group, new = [], {}
-            while i + len(group) < len(texts) and len(new) < step and sum(map(len, group[-1:])) < 10 * step:
+            group, new, total = [], {}, 0
+            while i + len(group) < len(texts) and len(new) < step and total < 4 * step:
                 group.append(words_of(texts[i + len(group)]))
+                total += len(group[-1])
                 new.update((w, None) for w in group[-1] if w not in self.memory)
             found = list(new)
             size = 0
