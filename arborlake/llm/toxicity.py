@@ -96,9 +96,23 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def count_letters(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, k: int) -> dict[str, np.ndarray]:
+def count_letters(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, k: int, step: int = 50_000) -> dict[str, np.ndarray]:
     """Letters after contexts of k letters, over distinct words: key, context, key after one
-    letter less of context, and the number of words of each class."""
+    letter less of context, and the number of words of each class; ``step`` words at a time."""
+    out = None
+    for i in range(0, max(len(words), 1), step):
+        part = _count_some(words[i : i + step], toxic[i : i + step], ordinary[i : i + step], k)
+        if out is not None:
+            both = {c: np.concatenate([out[c], part[c]]) for c in part}
+            order = np.argsort(both["key"], kind="stable")
+            key = both["key"][order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            part = {c: np.add.reduceat(v[order], first) if c in ("toxic", "ordinary") else v[order][first] for c, v in both.items()} if len(key) else both
+        out = part
+    return out
+
+
+def _count_some(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, k: int) -> dict[str, np.ndarray]:
     codes, before, begin = _spell(words, k)
     sums = collections.deque(_context_sums(codes, k), maxlen=2)
     ok = (before >= k) & (codes != _START)
