@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm.textkit import mix64
 from arborlake.llm.word_chunks import END, Pairs, encode, find, hashes, hot_kinds, requests, responses, unpack, word_counts
-from arborlake.plans.stage import discard, materialise
+from arborlake.plans.stage import discard, materialise, release
 
 _NL = 10  # white space, so never a byte of a word: ends a word and stands before it
 _GAP = b"\n\n\n"
@@ -414,6 +414,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     chunks = chunks.select("chunk", "words", "ids", "size", "doc_ids", "no_id", "lens").join(tail, "chunk", "left")
     out = chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInPandas(run, _RESULT)
+    release(spark, 0)
     ln10 = float(np.log(10.0))
     base = (F.col("b") - F.col("n_tokens") * float(np.log(model.n + model.v + 1))) / ln10
     out = out.select("doc_id", "n_tokens", "n_known", base.alias("base_score"), (F.col("spelled") / ln10).alias("score"), (F.col("s") / ln10).alias("event_score"))

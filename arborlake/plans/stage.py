@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_released = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +34,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     uses neither recompute it nor depend on blocks that live on one executor."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "stage", f"{name}-{uuid.uuid4().hex}")
+    release(spark)  # the tables before this one are written
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path  # type: ignore[attr-defined]
@@ -44,3 +48,18 @@ def discard(df: DataFrame) -> None:
     if path:
         where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession, seconds: float = 3.0) -> None:
+    """Let go of what nothing refers to any more: shuffle files and broadcasts of queries that
+    have ended, which Spark deletes once the driver's collector finds them dead, and heap that
+    the driver no longer needs.  Left to itself, the collector may not come by for the whole
+    job.  At most once in so many ``seconds``."""
+    global _released
+    if time.monotonic() - _released < seconds:
+        return
+    gc.collect()  # Python's handles keep their Java objects alive
+    for _ in range(2):  # the first pass frees the queries, the second their shuffles
+        spark._jvm.System.gc()
+        time.sleep(0.1)
+    _released = time.monotonic()
