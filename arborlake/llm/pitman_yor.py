@@ -7,10 +7,17 @@ probability of their spelling, and the whole is a proper distribution over texts
 
 Every word is in turn the context of the next one: each context has a restaurant of its own
 that shares the word restaurant as its parent, and the end of a text is the context of the
-first word.  A context's restaurant holds one table for each word seen in it (the seating by
-which interpolated Kneser-Ney approximates the model), so with c customers of a word, C in
-all and T tables, P(w | u) = (max(c - d, 0) + (strength + d T) P(w)) / (strength + C).  The
-word restaurant keeps every occurrence as its customer.
+first word.  With c customers and t tables of a word, C and T in all,
+P(w | u) = (c - d t + (strength + d T) P(w)) / (strength + C).
+
+With ``seat_contexts`` the tables of contexts are sampled like all others: in each sweep the
+customers of every (context, word) are seated anew at the word's probability in the word
+restaurant, and each of their tables is one customer there.  A word met once in a context has
+one table, so only pairs met more than once are kept and seated, in buckets by the hash of the
+context.  Seats follow from the hash of (context, word, sweep), so a chunk that knows the count
+of a pair, the context's tables and the word's probability seats it as its bucket did.
+Without it, a context holds one table for each word (the seating by which interpolated
+Kneser-Ney approximates the model) and the word restaurant keeps every occurrence.
 
 Gibbs sampling: given the spelling model, every word's customers are seated anew (a customer
 opens a table with probability proportional to (strength + discount * tables) * spelling);
@@ -39,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.textkit import mix64
-from arborlake.llm.word_chunks import END, Pairs, encode, find, hashes, hot_kinds, requests, responses, unpack, word_counts
+from arborlake.llm.word_chunks import END, Pairs, encode, find, hashes, hot_kinds, pack, requests, responses, unpack, word_counts
 from arborlake.plans.stage import discard, materialise, release
 
 _NL = 10  # white space, so never a byte of a word: ends a word and stands before it
@@ -67,6 +74,7 @@ class PitmanYor:
     context_strength: float = 1.0
     bucket: int = 2_000_000
     hot: int = 100_000
+    seat_contexts: bool = False
 
 
 def poisson(lam: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -237,6 +245,22 @@ class Model:
     discount: float
     docs: DataFrame
     chunks: DataFrame
+    states: Seats | None = None
+
+
+@dataclass
+class Seats:
+    """Sampled contexts: states from the last of burn-in on.  ``unknown``: probability of all
+    words not learned, ``end`` and ``end_tables``: of the end and of the context that it is,
+    by state.  ``words`` has p0, p1, ... and t0, t1, ...  ``hot``, ``buckets``, ``answers``:
+    pairs of the learned chunks, counted."""
+
+    unknown: np.ndarray
+    end: np.ndarray
+    end_tables: np.ndarray
+    hot: np.ndarray
+    buckets: int
+    answers: DataFrame
 
 
 def fit(docs: DataFrame, modulus: int, remainder: int, p: PitmanYor = PitmanYor()) -> Model:
@@ -277,6 +301,9 @@ def fit(docs: DataFrame, modulus: int, remainder: int, p: PitmanYor = PitmanYor(
         keys, counts = got["k"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.int64)
         return learn_spelling(np.append(keys, end), np.append(counts, max(t_end, 1)), cls, p, sweep)
 
+    if p.seat_contexts:
+        return _sample_contexts(docs, chunks, words, n, v, c_end, p, spelling)
+
     def sweep_words(shared, tables: float, number: int, keep: bool, again: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = shared.value
@@ -318,6 +345,192 @@ def fit(docs: DataFrame, modulus: int, remainder: int, p: PitmanYor = PitmanYor(
     return Model(p, table.select("word", "h", "c", lp.alias("lp")), n, v, c_end, float(np.log(p_end)), float(np.log(max(1 - known, 1e-300))), d, docs, chunks)
 
 
+def _dealt(words: DataFrame, n: int, p: PitmanYor) -> tuple[np.ndarray, int]:
+    """Hashes of hot contexts, the end among them, and the number of buckets.  Hot ones are
+    dealt to all buckets: those that would fill an eighth of one."""
+    hot = [r["word"] for r in words.where(F.col("c") > max(p.bucket // 8, n // p.hot)).select("word").toLocalIterator()]  # at most ``hot``
+    return np.sort(hashes([*hot, END])), max(12, -(-n // p.bucket))
+
+
+def _in_head(words: DataFrame, p: PitmanYor):
+    """Condition for the head, from counts by eighths of an octave, at most 512 of them."""
+    octave = F.floor(F.log2("c") * 8).cast("int")
+    hist = sorted(((r["o"], r["n"]) for r in words.where("c > 0").groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for o, k in hist:
+        if total + k > p.head:
+            break
+        total, least = total + k, o
+    return F.coalesce((F.col("c") > 0) & (octave >= least), F.lit(False)) if least is not None else F.lit(False)
+
+
+def seat_pairs(c: np.ndarray, tables: np.ndarray, prob: np.ndarray, u: np.ndarray, w: np.ndarray, sweep: int, p: PitmanYor) -> np.ndarray:
+    """Tables of pairs (hashes u, w) with c customers, from the contexts' tables and the words'
+    probabilities before the sweep."""
+    t = np.minimum(c, 1)
+    at = np.flatnonzero(c > 1)
+    key = mix64(mix64(u[at] + np.uint64(0x9E3779B97F4A7C15 * (sweep + 1) % (1 << 64))) + w[at])
+    t[at] = seat(c[at], (p.context_strength + p.context_discount * tables[at]) * prob[at], p.context_discount, key)
+    return t
+
+
+_STATE = "bucket int, pairs int, firsts int, c binary, u binary, runs binary, w binary, single binary, tables binary, sums int, sum_w binary, sum_t binary"
+
+
+def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: int, v: int, c_end: int, p: PitmanYor, spelling) -> Model:
+    """The sweeps with sampled contexts.  A state: tables of pairs, of contexts and of words."""
+    spark = docs.sparkSession
+    hot, buckets = _dealt(words, n, p)
+    answers = materialise(responses(requests(chunks, hot, buckets), hot, dishes=True), "py_answers")
+    release(spark, 0)
+    end = int(hashes([END]).view(np.int64)[0])
+
+    def customers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                w, k = np.unique(np.frombuffer(r.w, np.uint64), return_counts=True)
+                yield pd.DataFrame({"h": np.frombuffer(r.s_w, np.int64), "single": unpack(r.s_n, r.singles, np.uint32), "more": 0})
+                yield pd.DataFrame({"h": w.view(np.int64), "single": 0, "more": k})
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"word": pdf["word"], "h": hashes(pdf["word"]).view(np.int64), "c": pdf["c"]})
+
+    learned = answers.where("chunk = -2")
+    first = learned.select("w", "singles", "s_w", "s_n").mapInPandas(customers, "h long, single long, more long").groupBy("h").agg(F.sum("single").alias("single"), F.sum("more").alias("more"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    table = words.mapInPandas(hashed, "word binary, h long, c long").join(first, "h", "left")
+    table = materialise(table.select("word", "h", "c", zero("single").alias("single"), (zero("single") + zero("more")).alias("k"), F.least(zero("single") + zero("more"), F.lit(1)).alias("t"), F.array().cast("array<double>").alias("p")), "py_sweep")
+    of_end = first.where(F.col("h") == end).first()
+    single_end, k_end = (of_end["single"], of_end["single"] + of_end["more"]) if of_end else (0, 0)
+    s = table.agg(F.sum("k").alias("k"), F.sum("t").alias("t"), F.count_if(F.col("k") == 1).alias("n1"), F.count_if(F.col("k") == 2).alias("n2")).first()
+    d = min(0.95, max(0.05, s["n1"] / max(1, s["n1"] + 2 * s["n2"])))
+    t_end, total, tables = min(k_end, 1), float((s["k"] or 0) + k_end), float((s["t"] or 0) + min(k_end, 1))
+    head, p_end = _in_head(words, p), []
+    tail_words = not table.where(~head & (F.col("c") > 1)).isEmpty()
+    state = learned.select("bucket", "pairs", "firsts", "c", "u", "runs", "w", "single", "tables", F.lit(0).alias("sums"), F.lit(b"").alias("sum_w"), F.lit(b"").alias("sum_t"))
+
+    def predict(shared, total: float, tables: float):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = shared.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                h = np.exp(np.maximum(m.log_words(pdf["word"].tolist()), -690.0))
+                prob = (pdf["k"] - d * pdf["t"] + (p.strength + d * tables) * h) / (p.strength + total)
+                yield pdf.drop(columns=["t"]).assign(p=[np.append(a, x) for a, x in zip(pdf["p"], prob)], spelled=h)
+
+        return run
+
+    def seat_words(tables: float, number: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                key = mix64(pdf["h"].to_numpy(np.int64).view(np.uint64) + np.uint64(number + 1))
+                t = seat(pdf["k"].to_numpy(np.int64), (p.strength + d * tables) * pdf["spelled"].to_numpy(), d, key)
+                yield pdf.drop(columns=["spelled"]).assign(t=t)
+
+        return run
+
+    def others(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for bucket, w in zip(pdf["bucket"], pdf["w"]):
+                    w = np.unique(np.frombuffer(w, np.uint64))
+                    yield pd.DataFrame({"bucket": bucket, "h": w[find(shared.value[0], w) < 0].view(np.int64)})
+
+        return run
+
+    def seat_contexts(shared, number: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, prob, hot_tables = shared.value
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    u, runs, w = np.frombuffer(r.u, np.uint64), unpack(r.runs, r.firsts, np.uint32), np.frombuffer(r.w, np.uint64)
+                    before = np.frombuffer(r.tables, np.uint32)
+                    at = find(hot, u)
+                    now = np.where(at >= 0, hot_tables[at], before[len(before) - r.firsts :]).astype(np.float64)
+                    at = find(known, w)
+                    of = prob[at]
+                    if r.t_h is not None and len(r.t_h):
+                        more = np.asarray(r.t_h, dtype=np.int64).view(np.uint64)
+                        by = np.argsort(more)
+                        of = np.where(at >= 0, of, np.asarray(r.t_p, dtype=np.float64)[by][find(more[by], w)])
+                    who = np.repeat(np.arange(r.firsts), runs)
+                    t = seat_pairs(unpack(r.c, r.pairs, np.int32).astype(np.int64), now[who], of, u[who], w, number, p)
+                    new = (unpack(r.single, r.firsts, np.uint32) + np.bincount(who, t, r.firsts)).astype(np.uint32)
+                    words, inv = np.unique(w, return_inverse=True)
+                    yield pd.DataFrame([(r.bucket, r.pairs, r.firsts, r.c, r.u, r.runs, r.w, r.single, r.tables + new.tobytes(), len(words), words.tobytes(), pack(np.bincount(inv, t, len(words)).astype(np.uint32)))], columns=[x.split()[0] for x in _STATE.split(", ")])
+
+        return run
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, w, t in zip(pdf["sums"], pdf["sum_w"], pdf["sum_t"]):
+                yield pd.DataFrame({"h": np.frombuffer(w, np.int64), "more": unpack(t, k, np.uint32)})
+
+    def contexts(only_hot: bool, begin: int):
+        """h and tables by state, from state ``begin`` on."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for m, u, t in zip(pdf["firsts"], pdf["u"], pdf["tables"]):
+                    u = np.frombuffer(u, np.uint64)
+                    t = np.frombuffer(t, np.uint32).reshape(-1, m)[begin:] if m else np.zeros((0, 0))
+                    keep = find(hot, u) >= 0 if only_hot else slice(None)
+                    if m:
+                        yield pd.DataFrame({"h": u[keep].view(np.int64)} | {f"t{i}": x[keep] for i, x in enumerate(t)})
+
+        return run
+
+    last = p.burn_in + p.samples
+    for number in range(last + 1):
+        model = spelling(table, t_end, number)
+        p_end.append((k_end - d * t_end + (p.strength + d * tables) * model.end_of_text()) / (p.strength + total))
+        shared = spark.sparkContext.broadcast(model)
+        old, table = table, materialise(table.mapInPandas(predict(shared, total, tables), "word binary, h long, c long, single long, k long, p array<double>, spelled double"), "py_sweep")
+        shared.destroy()  # the table is written
+        discard(old)
+        if number == last:
+            break
+        top = table.where(head).select("h", F.col("p")[number].alias("p")).toArrow()
+        h = np.append(top["h"].to_numpy().view(np.uint64), hashes([END]))
+        by = np.argsort(h)
+        got = {r["h"]: r["t0"] for r in state.select("firsts", "u", "tables").mapInPandas(contexts(True, number), "h long, t0 long").groupBy("h").agg(F.sum("t0").alias("t0")).toLocalIterator()}  # hot ones
+        shared = spark.sparkContext.broadcast((h[by], np.append(top["p"].to_numpy(), p_end[-1])[by], np.array([got.get(x, 0) for x in hot.view(np.int64).tolist()], dtype=np.int64)))
+        del top, h
+        rows = state.withColumns({"t_h": F.lit(None).cast("array<long>"), "t_p": F.lit(None).cast("array<double>")})
+        if tail_words:
+            tail = state.select("bucket", "w").mapInPandas(others(shared), "bucket int, h long").join(table.select("h", F.col("p")[number].alias("p")), "h")
+            rows = state.join(tail.groupBy("bucket").agg(F.collect_list(F.struct("h", "p")).alias("t")).select("bucket", F.col("t.h").alias("t_h"), F.col("t.p").alias("t_p")), "bucket", "left")
+        old, state = state, materialise(rows.select(*[x.split()[0] for x in _STATE.split(", ")], "t_h", "t_p").mapInPandas(seat_contexts(shared, number), _STATE), "py_state")
+        shared.destroy()  # the table is written
+        discard(old)
+        more = state.select("sums", "sum_w", "sum_t").mapInPandas(sums, "h long, more long").groupBy("h").agg(F.sum("more").alias("more"))
+        seated = table.join(more, "h", "left").select("word", "h", "c", "single", (F.col("single") + zero("more")).alias("k"), "p", "spelled").mapInPandas(seat_words(tables, number), "word binary, h long, c long, single long, k long, p array<double>, t long")
+        old, table = table, materialise(seated, "py_sweep")
+        discard(old)
+        of_end = more.where(F.col("h") == end).first()
+        k_end = single_end + (of_end["more"] if of_end else 0)
+        t_end = int(seat(np.array([k_end]), np.array([(p.strength + d * tables) * model.end_of_text()]), d, np.array([number + 1], dtype=np.uint64))[0])
+        s = table.agg(F.sum("k").alias("k"), F.sum("t").alias("t")).first()
+        total, tables = float((s["k"] or 0) + k_end), float((s["t"] or 0) + t_end)
+
+    # States from the last of burn-in on; a context of which no pair is kept has as many tables as customers.
+    k, at = p.samples + 1, range(p.samples + 1)
+    of_context = state.select("firsts", "u", "tables").mapInPandas(contexts(False, p.burn_in), "h long, " + ", ".join(f"t{i} long" for i in at)).groupBy("h").agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in at])
+    prob = [F.col("p")[p.burn_in + i] for i in at]
+    mean = sum(prob[2:], prob[1]) / p.samples
+    out = table.select("word", "h", "c", F.log(F.greatest(mean, F.lit(1e-300))).alias("lp"), *[x.alias(f"p{i}") for i, x in zip(at, prob)])
+    out = materialise(out.join(of_context, "h", "left").select("word", "h", "c", "lp", *[f"p{i}" for i in at], *[F.coalesce(f"t{i}", "c").alias(f"t{i}") for i in at]), "py_words")
+    row = of_context.where(F.col("h") == end).first()
+    discard(table), discard(state), discard(words)
+    known = out.where("c > 0").agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in at]).first()
+    ends = np.array(p_end[p.burn_in :]) if c_end else np.zeros(k)
+    unknown = np.maximum(1 - np.array([x or 0.0 for x in known]) - ends, 1e-300)
+    seats = Seats(unknown, np.maximum(p_end[p.burn_in :], 1e-300), np.array([row[f"t{i}"] if row else c_end for i in at], dtype=np.int64), hot, buckets, answers)
+    return Model(p, out, n, v, c_end, float(np.log(seats.end[1:].mean())), float(np.log(unknown[1:].mean())), d, docs, chunks, seats)
+
+
 def context_term(c, total, kinds, lp, p: PitmanYor) -> np.ndarray:
     """log P(w | u) - log P(w): c customers of w in u's restaurant, ``total`` and ``kinds``
     customers and tables there, lp = log P(w)."""
@@ -341,29 +554,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     own = docs is model.docs  # learned and scored in one go
     chunks = model.chunks if own else materialise(encode(docs, lambda name: False, p.tokens, p.words), "py_asked")
 
-    # Hot contexts are dealt to all buckets: those that would fill an eighth of one.
-    buckets = max(12, -(-model.n // p.bucket))
-    hot = [r["h"] for r in model.words.where(F.col("c") > max(p.bucket // 8, model.n // p.hot)).select("h").toLocalIterator()]  # at most ``hot``
-    hot = np.sort(np.append(np.array(hot, dtype=np.int64).view(np.uint64), hashes([END])))
-    asked = requests(chunks, hot, buckets)
-    if not own:
-        asked = asked.unionAll(requests(model.chunks, hot, buckets, ask=False))
-    answers = materialise(responses(asked, hot), "py_answers")
+    seats = model.states
+    hot, buckets = (seats.hot, seats.buckets) if seats else _dealt(model.words, model.n, p)
+    if own and seats:
+        answers = seats.answers
+    else:
+        asked = requests(chunks, hot, buckets)
+        if not own:
+            asked = asked.unionAll(requests(model.chunks, hot, buckets, ask=False))
+        answers = materialise(responses(asked, hot), "py_answers")
     hot_table = spark.sparkContext.broadcast((hot, hot_kinds(answers, hot)))
 
-    # Least count of the head: from counts by eighths of an octave, at most 512 of them.
-    octave = F.floor(F.log2("c") * 8).cast("int")
-    hist = sorted(((r["o"], r["n"]) for r in model.words.where("c > 0").groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    total, least = 0, None
-    for o, k in hist:
-        if total + k > p.head:
-            break
-        total, least = total + k, o
-    in_head = F.coalesce((F.col("c") > 0) & (octave >= least), F.lit(False)) if least is not None else F.lit(False)
-    head = model.words.where(in_head).select("h", "c", "lp").toArrow()
+    in_head = _in_head(model.words, p)
+    by_state = [f"{x}{i}" for x in "pt" for i in range(p.samples + 1)] if seats else []
+    head = model.words.where(in_head).select("h", "c", "lp", *by_state).toArrow()
     h = np.append(head["h"].to_numpy().view(np.uint64), hashes([END]))
     by = np.argsort(h)
-    shared = spark.sparkContext.broadcast((h[by], np.append(head["c"].to_numpy(), model.c_end)[by], np.append(head["lp"].to_numpy(), model.lp_end)[by]))
+    ends = [*seats.end, *seats.end_tables] if seats else []
+    shared = spark.sparkContext.broadcast((h[by], np.append(head["c"].to_numpy(), model.c_end)[by], np.append(head["lp"].to_numpy(), model.lp_end)[by], [np.append(head[x].to_numpy(), e)[by] for x, e in zip(by_state, ends)]))
     del head, h
 
     # The words of each chunk that the head does not hold.
@@ -376,11 +584,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pd.DataFrame({"chunk": chunk, "at": at, "h": mine[at].view(np.int64)})
 
     tail = chunks.select("chunk", "words").mapInPandas(others, "chunk long, at int, h long")
-    rest = model.words.where(~in_head).select("h", "c", "lp")
-    tail = tail.join(rest, "h", "left").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "lp")).alias("tail"))
-    tail = tail.select("chunk", *[F.col(f"tail.{c}").alias(f"t_{c}") for c in ("at", "c", "lp")])
+    rest = model.words.where(~in_head).select("h", "c", "lp", *by_state)
+    tail = tail.join(rest, "h", "left").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "lp", *by_state)).alias("tail"))
+    tail = tail.select("chunk", *[F.col(f"tail.{c}").alias(f"t_{c}") for c in ("at", "c", "lp", *by_state)])
 
     lp_unknown = model.lp_unknown
+    unknown = seats.unknown if seats else None
+
+    def sampled(pairs: Pairs, learned: np.ndarray, c: np.ndarray, of_state: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logs of the pairs' probabilities, averaged over samples: as events, and spelled."""
+        prob = [np.where(np.isfinite(x), x, y) for x, y in zip(of_state[: p.samples + 1], unknown)]
+        tables = [np.where(c > 0, np.nan_to_num(x), 0.0) for x in of_state[p.samples + 1 :]]
+        event, spelled, new = 0.0, 0.0, c[pairs.w] == 0
+        for i in range(1, p.samples + 1):
+            t = seat_pairs(learned, tables[i - 1][pairs.u], prob[i - 1][pairs.w], h[pairs.u], h[pairs.w], p.burn_in + i - 1, p)
+            own, over = learned - p.context_discount * t, p.context_strength + p.context_discount * tables[i][pairs.u]
+            of = prob[i][pairs.w]
+            event = event + own + over * np.where(new, unknown[i], of)
+            spelled = spelled + own + over * of
+        below = p.samples * (p.context_strength + c[pairs.u])
+        return np.log(np.maximum(event / below, 1e-300)), np.log(np.maximum(spelled / below, 1e-300))
 
     def run(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         """Scores of a chunk's texts from its words' and its pairs' counts."""
@@ -388,13 +611,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             return pd.DataFrame({c.split()[0]: [] for c in _RESULT.split(", ")})
         r = chunk.iloc[0]
         flat, mine = unpack(r["ids"], int(r["size"]), np.uint32), hashes(r["words"])
-        table, counts, lps = shared.value
+        table, counts, lps, states = shared.value
         at = find(table, mine)
         c, lp = np.where(at >= 0, counts[at], 0), np.where(at >= 0, lps[at], -np.inf)
         if r["t_at"] is not None and len(r["t_at"]):
             where = np.asarray(r["t_at"], dtype=np.int64)
             c[where] = np.nan_to_num(np.asarray(r["t_c"], dtype=np.float64)).astype(np.int64)
             lp[where] = np.asarray(r["t_lp"], dtype=np.float64)
+        else:
+            where = []
+        of_state = [np.where(at >= 0, x[at], np.nan) for x in states]
+        for x, name in zip(of_state, by_state):
+            if len(where):
+                x[where] = np.asarray(r[f"t_{name}"], dtype=np.float64)
         lp = np.where(np.isfinite(lp), lp, lp_unknown)  # words of texts that the model has not listed
         event = np.where(c > 0, lp, lp_unknown)
         hot, kinds_of_hot = hot_table.value
@@ -405,12 +634,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         first = pairs.u[pairs.start]
         at = find(hot, mine[first])
         kinds = np.repeat(np.where(at >= 0, kinds_of_hot[at], kinds), pairs.length)
-        value = event[pairs.w] + context_term(learned, c[pairs.u], kinds, event[pairs.w], p)
+        if unknown is not None:
+            value, spelled = sampled(pairs, learned.astype(np.int64), c, of_state, mine)
+        else:
+            value = event[pairs.w] + context_term(learned, c[pairs.u], kinds, event[pairs.w], p)
+            spelled = value + (lp - event)[pairs.w]
         begin = np.concatenate([[0], np.cumsum(r["lens"])[:-1]]).astype(np.int64)
         add = lambda x: np.add.reduceat(x, begin)
         known = c[flat] > 0
         s = add(value[pairs.tokens])
-        return pd.DataFrame({"doc_id": pd.Series(r["doc_ids"], dtype="Int64").mask(np.asarray(r["no_id"], bool)), "n_tokens": r["lens"], "n_known": add(known.astype(np.int64)), "b": add(np.log(c + 1.0)[flat]), "s": s, "spelled": s + add((lp - event)[flat])})
+        return pd.DataFrame({"doc_id": pd.Series(r["doc_ids"], dtype="Int64").mask(np.asarray(r["no_id"], bool)), "n_tokens": r["lens"], "n_known": add(known.astype(np.int64)), "b": add(np.log(c + 1.0)[flat]), "s": s, "spelled": add(spelled[pairs.tokens])})
 
     chunks = chunks.select("chunk", "words", "ids", "size", "doc_ids", "no_id", "lens").join(tail, "chunk", "left")
     out = chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInPandas(run, _RESULT)

@@ -58,7 +58,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = pitman_yor.fit(docs, 7, 2)
+    model = pitman_yor.fit(docs, 7, 2, pitman_yor.PitmanYor(seat_contexts=True))
     out = pitman_yor.score(docs, model)
     return out.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", "event_score", "perplexity")
 

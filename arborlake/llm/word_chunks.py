@@ -33,6 +33,9 @@ END_HASH = xxhash.xxh64_intdigest(END)
 CHUNK = "chunk long, words array<binary>, n array<long>, ids binary, size long, doc_ids array<long>, no_id array<boolean>, lens array<long>, learn array<boolean>"
 REQUEST = "bucket int, chunk long, ask boolean, pairs int, firsts int, u binary, runs binary, w binary, c binary"
 RESPONSE = "chunk long, bucket int, pairs int, firsts int, c binary, kinds binary"
+#: What a bucket has learned, for sampling: contexts (u, with how many dishes each), the dishes' words and customers,
+#: words that stand once in a context by context (single) and by word (s_w, s_n), tables of each context so far.
+DISHES = ", u binary, runs binary, w binary, single binary, singles int, s_w binary, s_n binary, tables binary"
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -166,9 +169,20 @@ def requests(chunks: DataFrame, hot: np.ndarray, buckets: int, ask: bool = True)
     return chunks.select("chunk", "words", "ids", "size", "lens", "learn").mapInPandas(run, REQUEST)
 
 
-def responses(asked: DataFrame, hot: np.ndarray) -> DataFrame:
+def responses(asked: DataFrame, hot: np.ndarray, dishes: bool = False) -> DataFrame:
     """One row for each request of an asking chunk, and one with chunk -1 for each bucket that
-    holds hot words: their hashes (``c``) and numbers of words after them (``kinds``)."""
+    holds hot words: their hashes (``c``) and numbers of words after them (``kinds``).  With
+    ``dishes`` also one with chunk -2 for each bucket (DISHES): pairs learned more than once,
+    by context; hot contexts stand in every bucket that has learned a pair of theirs."""
+
+    def learned(words: np.ndarray, is_hot: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple:
+        many, at = c > 1, np.searchsorted(words, u)
+        n, single = np.bincount(at[many], minlength=len(words)), np.bincount(at[c == 1], minlength=len(words))
+        keep = (n > 0) | (is_hot & (n + single > 0))
+        by = np.argsort(at[many], kind="stable")
+        s_w, s_n = np.unique(w[c == 1], return_counts=True)
+        runs, single = n[keep].astype(np.uint32), single[keep].astype(np.uint32)
+        return int(many.sum()), len(runs), pack(c[many][by].astype(np.int32)), b"", words[keep].tobytes(), pack(runs), w[many][by].tobytes(), pack(single), len(s_w), s_w.tobytes(), pack(s_n.astype(np.uint32)), (runs + single).tobytes()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("chunk", kind="stable")
@@ -178,7 +192,7 @@ def responses(asked: DataFrame, hot: np.ndarray) -> DataFrame:
         w = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in g["w"]])
         c = np.concatenate([unpack(b, n, np.int32) for b, n in zip(g["c"], g["pairs"])])
         _, first, pair = np.unique(mix64(mix64(u + np.uint64(0x9E3779B97F4A7C15)) + w), return_index=True, return_inverse=True)
-        total = np.bincount(pair, c).astype(np.int64)
+        in_all = total = np.bincount(pair, c).astype(np.int64)
         words, back = np.unique(u1, return_inverse=True)
         kinds = np.bincount(np.searchsorted(words, u[first[total > 0]]), minlength=len(words))
         total, kind_of = total[pair].astype(np.uint32), kinds[back].astype(np.uint32)
@@ -190,9 +204,13 @@ def responses(asked: DataFrame, hot: np.ndarray) -> DataFrame:
         is_hot = find(hot, words) >= 0
         if is_hot.any():
             out.append((-1, g["bucket"].iloc[0], 0, int(is_hot.sum()), pack(words[is_hot]), pack(kinds[is_hot].astype(np.uint32))))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in RESPONSE.split(", ")])
+        if dishes:
+            out = [(*row, *[None] * DISHES.count(", ")) for row in out]
+            out.append((-2, g["bucket"].iloc[0], *learned(words, is_hot, u[first], w[first], in_all)))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return asked.groupBy("bucket").applyInPandas(run, RESPONSE)
+    schema = RESPONSE + DISHES * dishes
+    return asked.groupBy("bucket").applyInPandas(run, schema)
 
 
 def hot_kinds(answers: DataFrame, hot: np.ndarray) -> np.ndarray:
