@@ -250,8 +250,9 @@ class Model:
 
 @dataclass
 class Seats:
-    """Sampled contexts: states from the last of burn-in on.  ``unknown``: probability of all
-    words not learned, ``end`` and ``end_tables``: of the end and of the context that it is,
+    """Sampled contexts: states from the last of burn-in on, the first only seats the next one's
+    pairs (p0 is null for words met once).  ``unknown``: probability of all words not learned
+    (but for the first), ``end`` and ``end_tables``: of the end and of the context that it is,
     by state.  ``words`` has p0, p1, ... and t0, t1, ...  ``hot``, ``buckets``, ``answers``:
     pairs of the learned chunks, counted."""
 
@@ -274,7 +275,7 @@ def fit(docs: DataFrame, modulus: int, remainder: int, p: PitmanYor = PitmanYor(
     words = materialise(word_counts(chunks), "py_words")
     first = words.where(F.col("word") == F.lit(END)).select("c").first()
     c_end = first["c"] if first else 0
-    words = words.where(F.col("word") != F.lit(END))
+    every, words = words, words.where(F.col("word") != F.lit(END))
     s = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     n, v = (s["n"] or 0) + c_end, s["v"] + (c_end > 0)
     d = min(0.95, max(0.05, s["n1"] / max(1, s["n1"] + 2 * s["n2"])))
@@ -302,7 +303,9 @@ def fit(docs: DataFrame, modulus: int, remainder: int, p: PitmanYor = PitmanYor(
         return learn_spelling(np.append(keys, end), np.append(counts, max(t_end, 1)), cls, p, sweep)
 
     if p.seat_contexts:
-        return _sample_contexts(docs, chunks, words, n, v, c_end, p, spelling)
+        model = _sample_contexts(docs, chunks, words, n, v, c_end, p, spelling)
+        discard(every)
+        return model
 
     def sweep_words(shared, tables: float, number: int, keep: bool, again: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -400,7 +403,7 @@ def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: in
     first = learned.select("w", "singles", "s_w", "s_n").mapInPandas(customers, "h long, single long, more long").groupBy("h").agg(F.sum("single").alias("single"), F.sum("more").alias("more"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     table = words.mapInPandas(hashed, "word binary, h long, c long").join(first, "h", "left")
-    table = materialise(table.select("word", "h", "c", zero("single").alias("single"), (zero("single") + zero("more")).alias("k"), F.least(zero("single") + zero("more"), F.lit(1)).alias("t"), F.array().cast("array<double>").alias("p")), "py_sweep")
+    table = materialise(table.select("word", "h", "c", zero("single").alias("single"), (zero("single") + zero("more")).alias("k"), F.least(zero("single") + zero("more"), F.lit(1).cast("long")).alias("t")), "py_sweep")
     of_end = first.where(F.col("h") == end).first()
     single_end, k_end = (of_end["single"], of_end["single"] + of_end["more"]) if of_end else (0, 0)
     s = table.agg(F.sum("k").alias("k"), F.sum("t").alias("t"), F.count_if(F.col("k") == 1).alias("n1"), F.count_if(F.col("k") == 2).alias("n2")).first()
@@ -410,7 +413,7 @@ def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: in
     tail_words = not table.where(~head & (F.col("c") > 1)).isEmpty()
     state = learned.select("bucket", "pairs", "firsts", "c", "u", "runs", "w", "single", "tables", F.lit(0).alias("sums"), F.lit(b"").alias("sum_w"), F.lit(b"").alias("sum_t"))
 
-    def predict(shared, total: float, tables: float):
+    def predict(shared, total: float, tables: float, ended: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = shared.value
             for pdf in batches:
@@ -418,16 +421,28 @@ def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: in
                     continue
                 h = np.exp(np.maximum(m.log_words(pdf["word"].tolist()), -690.0))
                 prob = (pdf["k"] - d * pdf["t"] + (p.strength + d * tables) * h) / (p.strength + total)
-                yield pdf.drop(columns=["t"]).assign(p=[np.append(a, x) for a, x in zip(pdf["p"], prob)], spelled=h)
+                pdf = pdf.drop(columns=["k", "t"]).assign(p=prob, spelled=h)
+                yield pdf.drop(columns=["single", "spelled"]) if ended else pdf
 
         return run
 
-    def seat_words(tables: float, number: int):
+    def seat_words(shared, tables: float, number: int):
+        """Words without a dish take no customers from ``more``, the dishes' tables."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                key = mix64(pdf["h"].to_numpy(np.int64).view(np.uint64) + np.uint64(number + 1))
-                t = seat(pdf["k"].to_numpy(np.int64), (p.strength + d * tables) * pdf["spelled"].to_numpy(), d, key)
-                yield pdf.drop(columns=["spelled"]).assign(t=t)
+                h, k = pdf["h"].to_numpy(np.int64), pdf["single"].to_numpy(np.int64)
+                if shared is not None:
+                    at = find(shared.value[0], h)
+                    more = np.where(at >= 0, shared.value[1][at], 0) if len(shared.value[0]) else 0
+                else:
+                    more = pdf.pop("more").fillna(0).to_numpy(np.int64)
+                k = k + more
+                t = seat(k, (p.strength + d * tables) * pdf["spelled"].to_numpy(), d, mix64(h.view(np.uint64) + np.uint64(number + 1)))
+                pdf = pdf.drop(columns=["spelled"]).assign(k=k, t=t)
+                if number == p.burn_in:  # asked for only where a pair may have been met twice
+                    pdf["p0"] = pdf["p0"].where(pdf["c"] > 1)
+                yield pdf
 
         return run
 
@@ -487,12 +502,15 @@ def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: in
         model = spelling(table, t_end, number)
         p_end.append((k_end - d * t_end + (p.strength + d * tables) * model.end_of_text()) / (p.strength + total))
         shared = spark.sparkContext.broadcast(model)
-        old, table = table, materialise(table.mapInPandas(predict(shared, total, tables), "word binary, h long, c long, single long, k long, p array<double>, spelled double"), "py_sweep")
+        kept = [f"p{i}" for i in range(number - p.burn_in)]  # of the states before
+        held = "word binary, h long, c long" + ", single long" * (number < last) + "".join(f", {x} double" for x in kept)
+        columns = f"{held}, p double" + ", spelled double" * (number < last)
+        old, table = table, materialise(table.mapInPandas(predict(shared, total, tables, number == last), columns), "py_sweep")
         shared.destroy()  # the table is written
         discard(old)
         if number == last:
             break
-        top = table.where(head).select("h", F.col("p")[number].alias("p")).toArrow()
+        top = table.where(head).select("h", "p").toArrow()
         h = np.append(top["h"].to_numpy().view(np.uint64), hashes([END]))
         by = np.argsort(h)
         got = {r["h"]: r["t0"] for r in state.select("firsts", "u", "tables").mapInPandas(contexts(True, number), "h long, t0 long").groupBy("h").agg(F.sum("t0").alias("t0")).toLocalIterator()}  # hot ones
@@ -500,17 +518,30 @@ def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: in
         del top, h
         rows = state.withColumns({"t_h": F.lit(None).cast("array<long>"), "t_p": F.lit(None).cast("array<double>")})
         if tail_words:
-            tail = state.select("bucket", "w").mapInPandas(others(shared), "bucket int, h long").join(table.select("h", F.col("p")[number].alias("p")), "h")
+            tail = state.select("bucket", "w").mapInPandas(others(shared), "bucket int, h long").join(table.select("h", "p"), "h")
             rows = state.join(tail.groupBy("bucket").agg(F.collect_list(F.struct("h", "p")).alias("t")).select("bucket", F.col("t.h").alias("t_h"), F.col("t.p").alias("t_p")), "bucket", "left")
         old, state = state, materialise(rows.select(*[x.split()[0] for x in _STATE.split(", ")], "t_h", "t_p").mapInPandas(seat_contexts(shared, number), _STATE), "py_state")
         shared.destroy()  # the table is written
         discard(old)
         more = state.select("sums", "sum_w", "sum_t").mapInPandas(sums, "h long, more long").groupBy("h").agg(F.sum("more").alias("more"))
-        seated = table.join(more, "h", "left").select("word", "h", "c", "single", (F.col("single") + zero("more")).alias("k"), "p", "spelled").mapInPandas(seat_words(tables, number), "word binary, h long, c long, single long, k long, p array<double>, t long")
-        old, table = table, materialise(seated, "py_sweep")
+        more = materialise(more, "py_more")
+        rows, shared = table.select("word", "h", "c", "single", *kept, *[F.col("p").alias(f"p{number - p.burn_in}")] * (number >= p.burn_in), "spelled"), None
+        held += f", p{number - p.burn_in} double" * (number >= p.burn_in)
+        if more.count() <= p.head:
+            got = more.toArrow()
+            h = got["h"].to_numpy()
+            by = np.argsort(h)
+            shared = spark.sparkContext.broadcast((h[by], got["more"].to_numpy()[by]))
+            del got, h
+        else:
+            rows = rows.join(more, "h", "left")
+        old, table = table, materialise(rows.mapInPandas(seat_words(shared, tables, number), f"{held}, k long, t long"), "py_sweep")
+        if shared is not None:
+            shared.destroy()  # the table is written
         discard(old)
         of_end = more.where(F.col("h") == end).first()
         k_end = single_end + (of_end["more"] if of_end else 0)
+        discard(more)
         t_end = int(seat(np.array([k_end]), np.array([(p.strength + d * tables) * model.end_of_text()]), d, np.array([number + 1], dtype=np.uint64))[0])
         s = table.agg(F.sum("k").alias("k"), F.sum("t").alias("t")).first()
         total, tables = float((s["k"] or 0) + k_end), float((s["t"] or 0) + t_end)
@@ -518,13 +549,13 @@ def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: in
     # States from the last of burn-in on; a context of which no pair is kept has as many tables as customers.
     k, at = p.samples + 1, range(p.samples + 1)
     of_context = state.select("firsts", "u", "tables").mapInPandas(contexts(False, p.burn_in), "h long, " + ", ".join(f"t{i} long" for i in at)).groupBy("h").agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in at])
-    prob = [F.col("p")[p.burn_in + i] for i in at]
-    mean = sum(prob[2:], prob[1]) / p.samples
-    out = table.select("word", "h", "c", F.log(F.greatest(mean, F.lit(1e-300))).alias("lp"), *[x.alias(f"p{i}") for i, x in zip(at, prob)])
-    out = materialise(out.join(of_context, "h", "left").select("word", "h", "c", "lp", *[f"p{i}" for i in at], *[F.coalesce(f"t{i}", "c").alias(f"t{i}") for i in at]), "py_words")
+    of_context = materialise(of_context, "py_contexts")
     row = of_context.where(F.col("h") == end).first()
-    discard(table), discard(state), discard(words)
-    known = out.where("c > 0").agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in at]).first()
+    table = table.withColumnRenamed("p", f"p{p.samples}")
+    mean = sum([F.col(f"p{i}") for i in at[2:]], F.col("p1")) / p.samples
+    out = table.join(of_context, "h", "left").select("word", "h", "c", F.log(F.greatest(mean, F.lit(1e-300))).alias("lp"), *[f"p{i}" for i in at], *[F.coalesce(f"t{i}", "c").alias(f"t{i}") for i in at])
+    discard(state)
+    known = table.where("c > 0").agg(F.lit(0.0).alias("p0"), *[F.sum(f"p{i}").alias(f"p{i}") for i in at[1:]]).first()
     ends = np.array(p_end[p.burn_in :]) if c_end else np.zeros(k)
     unknown = np.maximum(1 - np.array([x or 0.0 for x in known]) - ends, 1e-300)
     seats = Seats(unknown, np.maximum(p_end[p.burn_in :], 1e-300), np.array([row[f"t{i}"] if row else c_end for i in at], dtype=np.int64), hot, buckets, answers)
@@ -584,9 +615,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pd.DataFrame({"chunk": chunk, "at": at, "h": mine[at].view(np.int64)})
 
     tail = chunks.select("chunk", "words").mapInPandas(others, "chunk long, at int, h long")
-    rest = model.words.where(~in_head).select("h", "c", "lp", *by_state)
-    tail = tail.join(rest, "h", "left").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "lp", *by_state)).alias("tail"))
-    tail = tail.select("chunk", *[F.col(f"tail.{c}").alias(f"t_{c}") for c in ("at", "c", "lp", *by_state)])
+    of_word = ["c", *by_state] if seats else ["c", "lp"]  # lp follows from p1, p2, ...
+    rest = model.words.where(~in_head).select("h", "c", *[F.when(F.col(x) != F.col("c"), F.col(x)).alias(x) if x.startswith("t") else x for x in of_word[1:]])
+    tail = tail.join(rest, "h", "left").groupBy("chunk").agg(F.collect_list(F.struct("at", *of_word)).alias("tail"))
+    tail = tail.select("chunk", *[F.col(f"tail.{c}").alias(f"t_{c}") for c in ("at", *of_word)])
 
     lp_unknown = model.lp_unknown
     unknown = seats.unknown if seats else None
@@ -617,13 +649,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if r["t_at"] is not None and len(r["t_at"]):
             where = np.asarray(r["t_at"], dtype=np.int64)
             c[where] = np.nan_to_num(np.asarray(r["t_c"], dtype=np.float64)).astype(np.int64)
-            lp[where] = np.asarray(r["t_lp"], dtype=np.float64)
+            if not by_state:
+                lp[where] = np.asarray(r["t_lp"], dtype=np.float64)
         else:
             where = []
         of_state = [np.where(at >= 0, x[at], np.nan) for x in states]
         for x, name in zip(of_state, by_state):
             if len(where):
-                x[where] = np.asarray(r[f"t_{name}"], dtype=np.float64)
+                more = np.asarray(r[f"t_{name}"], dtype=np.float64)
+                x[where] = np.where(np.isnan(more), c[where], more) if name.startswith("t") else more
         lp = np.where(np.isfinite(lp), lp, lp_unknown)  # words of texts that the model has not listed
         event = np.where(c > 0, lp, lp_unknown)
         hot, kinds_of_hot = hot_table.value
