@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm.textkit import mix64
 from arborlake.llm.word_chunks import find
-from arborlake.plans.stage import materialise
+from arborlake.plans.stage import materialise, release
 
 STATS = ["mean", "log_mean", "top2", "per_root", "log_strong", "log_length"]
 #: A run of letters; everything else parts words.
@@ -336,6 +336,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Tox = Tox()) -> Model:
     order = np.argsort(h)
     model.known, model.counts = h[order], np.stack([hashed[c].to_numpy()[order] for c in ("toxic", "ordinary")], axis=1).astype(np.float32)
 
+    del hashed, h, order
+    release(rows.sparkSession, 0)  # what counting letters took
     shared = rows.sparkSession.sparkContext.broadcast(model)
     # Wordless texts go here: a filter above the figures would have Spark compute them twice, by
     # two workers for each task, each with the model.

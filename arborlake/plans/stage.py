@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
+import sys
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
@@ -53,7 +56,7 @@ def discard(df: DataFrame) -> None:
 def release(spark: SparkSession, seconds: float = 3.0) -> None:
     """Let go of what nothing refers to any more: shuffle files and broadcasts of queries that
     have ended, which Spark deletes once the driver's collector finds them dead, and heap that
-    the driver no longer needs.  Left to itself, the collector may not come by for the whole
+    the driver and its Python no longer need.  Left to itself, the collector may not come by for the whole
     job.  At most once in so many ``seconds``."""
     global _released
     if time.monotonic() - _released < seconds:
@@ -62,4 +65,7 @@ def release(spark: SparkSession, seconds: float = 3.0) -> None:
     for _ in range(2):  # the first pass frees the queries, the second their shuffles
         spark._jvm.System.gc()
         time.sleep(0.1)
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
     _released = time.monotonic()
