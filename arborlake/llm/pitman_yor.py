@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm.textkit import mix64
 from arborlake.llm.word_chunks import END, Pairs, encode, find, hashes, hot_kinds, pack, requests, responses, unpack, word_counts
-from arborlake.plans.stage import discard, materialise, release
+from arborlake.plans.stage import discard, materialise, release, trim
 
 _NL = 10  # white space, so never a byte of a word: ends a word and stands before it
 _GAP = b"\n\n\n"
@@ -423,6 +423,7 @@ def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: in
                 prob = (pdf["k"] - d * pdf["t"] + (p.strength + d * tables) * h) / (p.strength + total)
                 pdf = pdf.drop(columns=["k", "t"]).assign(p=prob, spelled=h)
                 yield pdf.drop(columns=["single", "spelled"]) if ended else pdf
+            trim()
 
         return run
 
@@ -443,6 +444,7 @@ def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: in
                 if number == p.burn_in:  # asked for only where a pair may have been met twice
                     pdf["p0"] = pdf["p0"].where(pdf["c"] > 1)
                 yield pdf
+            trim()
 
         return run
 
@@ -475,6 +477,8 @@ def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: in
                     new = (unpack(r.single, r.firsts, np.uint32) + np.bincount(who, t, r.firsts)).astype(np.uint32)
                     words, inv = np.unique(w, return_inverse=True)
                     yield pd.DataFrame([(r.bucket, r.pairs, r.firsts, r.c, r.u, r.runs, r.w, r.single, r.tables + new.tobytes(), len(words), words.tobytes(), pack(np.bincount(inv, t, len(words)).astype(np.uint32)))], columns=[x.split()[0] for x in _STATE.split(", ")])
+                    del u, runs, w, at, now, of, who, t, new, words, inv
+                    trim()
 
         return run
 
@@ -562,6 +566,11 @@ def _sample_contexts(docs: DataFrame, chunks: DataFrame, words: DataFrame, n: in
     return Model(p, out, n, v, c_end, float(np.log(seats.end[1:].mean())), float(np.log(unknown[1:].mean())), d, docs, chunks, seats)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in four bytes, if all fit."""
+    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x.astype(np.int64)
+
+
 def context_term(c, total, kinds, lp, p: PitmanYor) -> np.ndarray:
     """log P(w | u) - log P(w): c customers of w in u's restaurant, ``total`` and ``kinds``
     customers and tables there, lp = log P(w)."""
@@ -598,11 +607,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     in_head = _in_head(model.words, p)
     by_state = [f"{x}{i}" for x in "pt" for i in range(p.samples + 1)] if seats else []
-    head = model.words.where(in_head).select("h", "c", "lp", *by_state).toArrow()
+    head = model.words.where(in_head).select("h", "c", *by_state, *["lp"] * (not seats)).toArrow()
     h = np.append(head["h"].to_numpy().view(np.uint64), hashes([END]))
     by = np.argsort(h)
     ends = [*seats.end, *seats.end_tables] if seats else []
-    shared = spark.sparkContext.broadcast((h[by], np.append(head["c"].to_numpy(), model.c_end)[by], np.append(head["lp"].to_numpy(), model.lp_end)[by], [np.append(head[x].to_numpy(), e)[by] for x, e in zip(by_state, ends)]))
+    lps = None if seats else np.append(head["lp"].to_numpy(), model.lp_end)[by]
+    states = [np.append(head[x].to_numpy(), e)[by] for x, e in zip(by_state, ends)]
+    shared = spark.sparkContext.broadcast((h[by], narrow(np.append(head["c"].to_numpy(), model.c_end)[by]), lps, [narrow(x) if name.startswith("t") else x for x, name in zip(states, by_state)]))
+    del states, lps
     del head, h
 
     # The words of each chunk that the head does not hold.
@@ -623,19 +635,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     lp_unknown = model.lp_unknown
     unknown = seats.unknown if seats else None
 
-    def sampled(pairs: Pairs, learned: np.ndarray, c: np.ndarray, of_state: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sampled(pairs: Pairs, learned: np.ndarray, c: np.ndarray, of_state: list[np.ndarray], h: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         """Logs of the pairs' probabilities, averaged over samples: as events, and spelled."""
         prob = [np.where(np.isfinite(x), x, y) for x, y in zip(of_state[: p.samples + 1], unknown)]
         tables = [np.where(c > 0, np.nan_to_num(x), 0.0) for x in of_state[p.samples + 1 :]]
-        event, spelled, new = 0.0, 0.0, c[pairs.w] == 0
-        for i in range(1, p.samples + 1):
-            t = seat_pairs(learned, tables[i - 1][pairs.u], prob[i - 1][pairs.w], h[pairs.u], h[pairs.w], p.burn_in + i - 1, p)
-            own, over = learned - p.context_discount * t, p.context_strength + p.context_discount * tables[i][pairs.u]
-            of = prob[i][pairs.w]
-            event = event + own + over * np.where(new, unknown[i], of)
-            spelled = spelled + own + over * of
-        below = p.samples * (p.context_strength + c[pairs.u])
-        return np.log(np.maximum(event / below, 1e-300)), np.log(np.maximum(spelled / below, 1e-300))
+        events, spellings = np.empty(len(learned)), np.empty(len(learned))
+        for a in range(0, len(learned), block):
+            u, w, n = pairs.u[a : a + block], pairs.w[a : a + block], learned[a : a + block].astype(np.int64)
+            event, spelled, new = 0.0, 0.0, c[w] == 0
+            for i in range(1, p.samples + 1):
+                t = seat_pairs(n, tables[i - 1][u], prob[i - 1][w], h[u], h[w], p.burn_in + i - 1, p)
+                own, over = n - p.context_discount * t, p.context_strength + p.context_discount * tables[i][u]
+                of = prob[i][w]
+                event = event + own + over * np.where(new, unknown[i], of)
+                spelled = spelled + own + over * of
+            below = p.samples * (p.context_strength + c[u])
+            events[a : a + block] = np.log(np.maximum(event / below, 1e-300))
+            spellings[a : a + block] = np.log(np.maximum(spelled / below, 1e-300))
+        return events, spellings
 
     def run(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         """Scores of a chunk's texts from its words' and its pairs' counts."""
@@ -645,39 +662,41 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         flat, mine = unpack(r["ids"], int(r["size"]), np.uint32), hashes(r["words"])
         table, counts, lps, states = shared.value
         at = find(table, mine)
-        c, lp = np.where(at >= 0, counts[at], 0), np.where(at >= 0, lps[at], -np.inf)
-        if r["t_at"] is not None and len(r["t_at"]):
-            where = np.asarray(r["t_at"], dtype=np.int64)
+        c = np.where(at >= 0, counts[at], 0).astype(np.int64)
+        where = np.asarray(r["t_at"], dtype=np.int64) if r["t_at"] is not None and len(r["t_at"]) else []
+        if len(where):
             c[where] = np.nan_to_num(np.asarray(r["t_c"], dtype=np.float64)).astype(np.int64)
-            if not by_state:
-                lp[where] = np.asarray(r["t_lp"], dtype=np.float64)
-        else:
-            where = []
         of_state = [np.where(at >= 0, x[at], np.nan) for x in states]
         for x, name in zip(of_state, by_state):
             if len(where):
                 more = np.asarray(r[f"t_{name}"], dtype=np.float64)
                 x[where] = np.where(np.isnan(more), c[where], more) if name.startswith("t") else more
-        lp = np.where(np.isfinite(lp), lp, lp_unknown)  # words of texts that the model has not listed
-        event = np.where(c > 0, lp, lp_unknown)
         hot, kinds_of_hot = hot_table.value
         pairs = Pairs(flat, mine, hot, buckets, tokens=True)
-        got = got.sort_values("bucket")
-        learned = np.concatenate([unpack(b, n, np.uint32) for b, n in zip(got["c"], got["pairs"])]).astype(np.float64)
-        kinds = np.concatenate([unpack(b, n, np.uint32) for b, n in zip(got["kinds"], got["firsts"])]).astype(np.float64)
-        first = pairs.u[pairs.start]
-        at = find(hot, mine[first])
-        kinds = np.repeat(np.where(at >= 0, kinds_of_hot[at], kinds), pairs.length)
+        got = got[["bucket", "c", "pairs", "kinds", "firsts"]].sort_values("bucket")
+        learned = np.concatenate([unpack(b, n, np.uint32) for b, n in zip(got["c"], got["pairs"])])
         if unknown is not None:
-            value, spelled = sampled(pairs, learned.astype(np.int64), c, of_state, mine)
+            value, spelled = sampled(pairs, learned, c, of_state, mine)
         else:
-            value = event[pairs.w] + context_term(learned, c[pairs.u], kinds, event[pairs.w], p)
+            lp = np.where(at >= 0, lps[at], -np.inf)
+            if len(where):
+                lp[where] = np.asarray(r["t_lp"], dtype=np.float64)
+            lp = np.where(np.isfinite(lp), lp, lp_unknown)  # words of texts that the model has not listed
+            event = np.where(c > 0, lp, lp_unknown)
+            kinds = np.concatenate([unpack(b, n, np.uint32) for b, n in zip(got["kinds"], got["firsts"])]).astype(np.float64)
+            first = pairs.u[pairs.start]
+            at = find(hot, mine[first])
+            kinds = np.repeat(np.where(at >= 0, kinds_of_hot[at], kinds), pairs.length)
+            value = event[pairs.w] + context_term(learned.astype(np.float64), c[pairs.u], kinds, event[pairs.w], p)
             spelled = value + (lp - event)[pairs.w]
+        tokens = pairs.tokens
+        del pairs, learned, got, mine, of_state
         begin = np.concatenate([[0], np.cumsum(r["lens"])[:-1]]).astype(np.int64)
         add = lambda x: np.add.reduceat(x, begin)
-        known = c[flat] > 0
-        s = add(value[pairs.tokens])
-        return pd.DataFrame({"doc_id": pd.Series(r["doc_ids"], dtype="Int64").mask(np.asarray(r["no_id"], bool)), "n_tokens": r["lens"], "n_known": add(known.astype(np.int64)), "b": add(np.log(c + 1.0)[flat]), "s": s, "spelled": add(spelled[pairs.tokens])})
+        out = pd.DataFrame({"doc_id": pd.Series(r["doc_ids"], dtype="Int64").mask(np.asarray(r["no_id"], bool)), "n_tokens": r["lens"], "n_known": add((c > 0).astype(np.int64)[flat]), "b": add(np.log(c + 1.0)[flat]), "s": add(value[tokens]), "spelled": add(spelled[tokens])})
+        del flat, tokens, value, spelled, c
+        trim()
+        return out
 
     chunks = chunks.select("chunk", "words", "ids", "size", "doc_ids", "no_id", "lens").join(tail, "chunk", "left")
     out = chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInPandas(run, _RESULT)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.textkit import fold_words, mix64
+from arborlake.plans.stage import trim
 
 END = b"\n"  # white space, so never a word: the end of a text, and what stands before its first word
 END_HASH = xxhash.xxh64_intdigest(END)
@@ -121,14 +122,16 @@ class Pairs:
         else:
             code = np.sort(code)
         new = np.append(True, code[1:] != code[:-1])
-        first = np.flatnonzero(new)
-        u, w = np.divmod(code[first], len(h))
+        code = code[new]
+        u, w = (x.astype(np.uint32) for x in np.divmod(code, len(h)))
+        del code
         place = mix64(h[u])
         is_hot = (find(hot, h) >= 0)[u]
         place[is_hot] = mix64(place[is_hot] + h[w[is_hot]])
         bucket = ((place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 65536 else np.int64)
         order = np.argsort(bucket, kind="stable")
         self.u, self.w, bucket = u[order], w[order], bucket[order]
+        del u, w, place, is_hot
         change = np.append(True, (self.u[1:] != self.u[:-1]) | (bucket[1:] != bucket[:-1]))
         self.start = np.flatnonzero(change)
         self.length = np.diff(np.append(self.start, len(self.u)))
@@ -136,17 +139,17 @@ class Pairs:
         run = np.searchsorted(self.start, edge)
         self.cuts = [(int(bucket[a]), a, b, c, d) for a, b, c, d in zip(edge[:-1].tolist(), edge[1:].tolist(), run[:-1].tolist(), run[1:].tolist())]
         if tokens:
-            at = np.empty(len(order), dtype=np.int64)
-            at[order] = np.arange(len(order))
-            self.tokens = np.empty(len(flat), dtype=np.int64)
-            self.tokens[by] = at[np.cumsum(new) - 1]
+            at = np.empty(len(order), dtype=np.uint32)
+            at[order] = np.arange(len(order), dtype=np.uint32)
+            self.tokens = np.empty(len(flat), dtype=np.uint32)
+            self.tokens[by] = at[np.cumsum(new, dtype=np.uint32) - 1]
 
 
 def _learned_counts(flat: np.ndarray, learn: np.ndarray, pairs: Pairs, n: int) -> np.ndarray:
     """How often the chunk's learned texts hold each pair."""
     code = np.sort((before(flat).astype(np.int64) * n + flat)[learn])
     first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-    at = find(code[first], pairs.u * n + pairs.w)
+    at = find(code[first], pairs.u.astype(np.int64) * n + pairs.w)
     return np.where(at >= 0, np.diff(np.append(first, len(code)))[at], 0).astype(np.int32) if len(first) else np.zeros(len(pairs.u), np.int32)
 
 
@@ -164,7 +167,10 @@ def requests(chunks: DataFrame, hot: np.ndarray, buckets: int, ask: bool = True)
                 c = _learned_counts(flat, np.repeat(np.asarray(r.learn, bool), r.lens) if ask else np.ones(len(flat), bool), p, len(h))
                 w, u = h[p.w], h[p.u[p.start]]
                 rows = [(k, r.chunk, ask, b - a, d - e, pack(u[e:d]), pack(p.length[e:d].astype(np.uint32)), w[a:b].tobytes(), pack(c[a:b])) for k, a, b, e, d in p.cuts]
+                del flat, h, p, c, w, u
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in REQUEST.split(", ")])
+                del rows
+                trim()
 
     return chunks.select("chunk", "words", "ids", "size", "lens", "learn").mapInPandas(run, REQUEST)
 
@@ -207,6 +213,8 @@ def responses(asked: DataFrame, hot: np.ndarray, dishes: bool = False) -> DataFr
         if dishes:
             out = [(*row, *[None] * DISHES.count(", ")) for row in out]
             out.append((-2, g["bucket"].iloc[0], *learned(words, is_hot, u[first], w[first], in_all)))
+        del u1, u, w, c, first, pair, in_all, total, kind_of, back
+        trim()
         return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
     schema = RESPONSE + DISHES * dishes

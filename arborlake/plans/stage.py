@@ -65,7 +65,12 @@ def release(spark: SparkSession, seconds: float = 3.0) -> None:
     for _ in range(2):  # the first pass frees the queries, the second their shuffles
         spark._jvm.System.gc()
         time.sleep(0.1)
+    trim()
+    _released = time.monotonic()
+
+
+def trim() -> None:
+    """Free memory of this Python goes back to the system; also for workers, which stay after a task."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
-    _released = time.monotonic()
